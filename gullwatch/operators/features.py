@@ -88,8 +88,11 @@ def hashed_tfidf_pipeline(num_features: int = 3000, text: str = "processedTweet"
 
 
 def token_vectors(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Attach ``vector`` by token; unknown tokens get the ``<UNK>`` vector."""
-    unknown = dictionary.filter(F.col("token") == UNKNOWN).select("vector").scalar()
+    """Attach ``vector`` by token; unknown tokens get the ``<UNK>`` vector, one row."""
+    row = dictionary.filter(F.col("token") == UNKNOWN).select("vector").first()
+    if row is None:
+        raise ValueError(f"dictionary lacks {UNKNOWN}")
+    unknown = F.array(*[F.lit(x) for x in row.vector]).cast(dictionary.schema["vector"].dataType)
     return tokens.join(dictionary, "token", "left").withColumn(
         "vector", F.coalesce(F.col("vector"), unknown)
     )
@@ -109,7 +112,7 @@ def max_tokens(df: DataFrame, words: str = "words") -> DataFrame:
 
 
 def doc_vector_concat(
-    df: DataFrame, dictionary: DataFrame, dims: int, max_len: Column, words: str = "words"
+    df: DataFrame, dictionary: DataFrame, dims: int, max_len: int, words: str = "words"
 ) -> DataFrame:
     """``(id, size, values)``: token vectors in token order, zero-padded to ``max_len`` tokens.
 
@@ -122,7 +125,7 @@ def doc_vector_concat(
     ordered = F.sort_array(F.collect_list(F.struct("pos", "vector")))
     return vectors.groupBy("id").agg(ordered.alias("parts")).select(
         "id",
-        (max_len * dims).cast("long").alias("size"),
+        F.lit(max_len * dims).cast("long").alias("size"),
         F.flatten(F.col("parts.vector")).alias("values"),
     )
 
