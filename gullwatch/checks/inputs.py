@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gullwatch.functions.dates import post_day
-from gullwatch.functions.text import normalised, tokenise
+from gullwatch.functions.text import normalise, tokenise
 from gullwatch.operators.features import UNKNOWN, weighted_term_sets
 from gullwatch.sources.posts import spread
 
@@ -54,7 +54,7 @@ def with_day(df: DataFrame) -> DataFrame:
 
 
 def processed(df: DataFrame) -> DataFrame:
-    return df.withColumn("processedTweet", normalised(F.col("tweet")))
+    return normalise(df)
 
 
 def worded(df: DataFrame) -> DataFrame:

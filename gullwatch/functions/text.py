@@ -38,15 +38,11 @@ def remove_stopwords(c: Column, words: Sequence[str]) -> Column:
 
 
 def strip_urls(c: Column) -> Column:
-    # a URL needs ":" followed by a slash pair or a backslash, so most rows skip the regex
-    candidate = c.contains("://") | c.contains(":\\")
-    return F.when(candidate, F.regexp_replace(c, F.lit(URL_PATTERN), F.lit(""))).otherwise(c)
+    return F.regexp_replace(c, F.lit(URL_PATTERN), F.lit(""))
 
 
 def strip_escapes(c: Column) -> Column:
-    return F.when(
-        c.contains("\\"), F.regexp_replace(c, F.lit(ESCAPE_PATTERN), F.lit(""))
-    ).otherwise(c)
+    return F.regexp_replace(c, F.lit(ESCAPE_PATTERN), F.lit(""))
 
 
 def spell_points(c: Column) -> Column:
@@ -106,11 +102,15 @@ def numbers_to_words(c: Column) -> Column:
     Runs with 13 or more significant digits are spelled digit by digit.
     """
     runs = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.when(c.rlike("[0-9]"), F.array_join(F.transform(runs, _spell_run), "")).otherwise(c)
+    return F.array_join(F.transform(runs, _spell_run), "")
 
 
 def normalised(c: Column, numbers: bool = True, stopwords: Sequence[str] = ()) -> Column:
-    """Whole chain. ``numbers=False`` keeps digits and all other characters."""
+    """Whole chain. ``numbers=False`` keeps digits and all other characters.
+
+    Every step names its input once: nested expressions are not always shared (filters,
+    lambdas), and a step naming it twice would double the work of all steps before it.
+    """
     c = strip_urls(remove_stopwords(F.lower(c), stopwords))
     if numbers:
         c = numbers_to_words(c)
@@ -118,6 +118,16 @@ def normalised(c: Column, numbers: bool = True, stopwords: Sequence[str] = ()) -
     return squeeze_spaces(keep_letters(c) if numbers else c)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a generator.
+
+    The optimizer copies a projected expression into every predicate pushed below it; a
+    keyword filter would repeat the whole text chain once per keyword. It does not push
+    through a generator.
+    """
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
 def normalise(
     df: DataFrame,
     source: str = "tweet",
@@ -125,7 +135,7 @@ def normalise(
     numbers: bool = True,
     stopwords: Sequence[str] = (),
 ) -> DataFrame:
-    return df.withColumn(target, normalised(F.col(source), numbers, stopwords))
+    return computed_once(df, target, normalised(F.col(source), numbers, stopwords))
 
 
 def clean_for_signature(c: Column, stopwords: Sequence[str] = ()) -> Column:

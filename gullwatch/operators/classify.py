@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gullwatch.functions.text import keyword_score
 from gullwatch.functions.vectors import dot
 from gullwatch.operators.features import hashed_tfidf_stages
+from gullwatch.sources.posts import packed
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,11 @@ def train(df: DataFrame, spec: Spec) -> Scorer:
     stages = hashed_tfidf_stages(spec.num_features)
     if spec.classifier == "SVM" and spec.solver == "sgd":
         features = Pipeline(stages=stages).fit(rows)
-        margin = fit_sgd(features.transform(rows), spec.reg, spec.step or 1.0, spec.max_iter or 100)
+        vectors = features.transform(rows).persist()
+        margin = fit_sgd(
+            packed(vectors, vectors.count()), spec.reg, spec.step or 1.0, spec.max_iter or 100
+        )
+        vectors.unpersist()
         return Scorer(spec, features, margin)
     if spec.classifier == "SVM":
         classifier = svm(spec.reg, spec.max_iter or 100)
@@ -114,7 +119,7 @@ def train(df: DataFrame, spec: Spec) -> Scorer:
     # every solver iteration reads the vectors, so they are computed once
     vectors = features.transform(rows).select("label", "features").persist()
     try:
-        fitted = classifier.fit(vectors)
+        fitted = classifier.fit(packed(vectors, vectors.count()))
     finally:
         vectors.unpersist()
     return Scorer(spec, PipelineModel([*features.stages, fitted]))

@@ -28,6 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores + 1 else df
 
 
+def packed(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
+    """Merge partitions of an input known to be small.
+
+    Iterative solvers run a job per step; on a few thousand rows the tasks cost more than
+    the arithmetic. Never raises the number of partitions.
+    """
+    return df.coalesce(max(1, -(-rows // rows_per_partition)))
+
+
 def read_posts(spark: SparkSession, path: str, label_type: str = "int") -> DataFrame:
     """Headerless tab-separated posts; labels that are not numbers become null."""
     df = spark.read.schema(POST_SCHEMA).option("sep", "\t").csv(path)
