@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gullwatch.functions.dates import post_day
 from gullwatch.functions.text import normalise, tokenise
 from gullwatch.operators.features import UNKNOWN, weighted_term_sets
+from gullwatch.session import cut_lineage
 from gullwatch.sources.posts import spread
 
 STOPWORDS = "the of and to in is that a de la".split()
@@ -46,7 +47,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled posts."""
-    return spread(documents(spark, sf_dir).join(labels(spark, sf_dir), "id"))
+    return texts(spark, sf_dir).join(labels(spark, sf_dir), "id")
 
 
 def with_day(df: DataFrame) -> DataFrame:
@@ -69,9 +70,11 @@ def lead_term(words: Column) -> Column:
 
 def term_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents grouped by lead term: ``(cluster, id, date, tweet, words, terms)``."""
-    rows = worded(texts(spark, sf_dir)).withColumn("cluster", lead_term(F.col("words")))
-    rows = weighted_term_sets(rows.select("cluster", "id", "date", "tweet", "words"))
-    return rows.filter(F.col("cluster") != "")
+    rows = worded(texts(spark, sf_dir)).select(
+        lead_term(F.col("words")).alias("cluster"), "id", "date", "tweet", "words"
+    )
+    rows = cut_lineage(rows)  # written once: the flows below read it several times
+    return weighted_term_sets(rows).filter(F.col("cluster") != "")
 
 
 def listed_clusters(rows: DataFrame) -> DataFrame:

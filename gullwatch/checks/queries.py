@@ -280,8 +280,8 @@ def kmeans_cost(spark, sf_dir):
 def tfidf_terms(spark, sf_dir):
     rows = worded(texts(spark, sf_dir))
     n = documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    weighted = features.tfidf_terms(features.term_counts(rows), features.document_frequency(rows), n)
-    return _rounded(weighted, weight=6)
+    tf = features.term_counts(rows)
+    return _rounded(features.tfidf_terms(tf, features.document_frequency(tf), n), weight=6)
 
 
 @query
@@ -291,8 +291,8 @@ def tfidf_apply(spark, sf_dir):
     fitted = worded(rows.join(known, "id", "left_semi"))
     others = worded(rows.join(known, "id", "left_anti"))
     n = rows.join(known, "id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    weighted = features.tfidf_terms(features.term_counts(others), features.document_frequency(fitted), n)
-    return _rounded(weighted, weight=6)
+    frequencies = features.document_frequency(features.term_counts(fitted))
+    return _rounded(features.tfidf_terms(features.term_counts(others), frequencies, n), weight=6)
 
 
 @query
@@ -304,8 +304,9 @@ def max_tokens(spark, sf_dir):
 def linear_score(spark, sf_dir):
     rows = worded(texts(spark, sf_dir))
     n = documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    frequencies = features.document_frequency(rows)
-    weighted = features.tfidf_terms(features.term_counts(rows), frequencies, n)
+    tf = features.term_counts(rows)
+    frequencies = features.document_frequency(tf)
+    weighted = features.tfidf_terms(tf, frequencies, n)
     weights = frequencies.select("term", ((F.col("df") % 7 - 3) / 10.0).alias("w"))
     return _rounded(features.linear_score(weighted, weights), margin=4)
 
@@ -614,9 +615,12 @@ def cluster_similarity(spark, sf_dir):
 
 
 def _weight_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = worded(texts(spark, sf_dir)).withColumn("cluster", lead_term(F.col("words")))
+    rows = cut_lineage(
+        worded(texts(spark, sf_dir)).select("id", "words", lead_term(F.col("words")).alias("cluster"))
+    )
     n = documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    weighted = features.tfidf_terms(features.term_counts(rows), features.document_frequency(rows), n)
+    tf = features.term_counts(rows)
+    weighted = features.tfidf_terms(tf, features.document_frequency(tf), n)
     keys = rows.select("id", "cluster").filter(F.col("cluster") != "")
     long = weighted.join(keys, "id").select("cluster", "id", F.round("weight", 9).alias("weight"))
     return cohesion.cluster_weight_similarity(long)

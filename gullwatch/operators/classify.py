@@ -110,16 +110,17 @@ def train(df: DataFrame, spec: Spec) -> Scorer:
         vectors.unpersist()
         return Scorer(spec, features, margin)
     if spec.classifier == "SVM":
-        classifier = svm(spec.reg, spec.max_iter or 100)
+        classifier, share = svm(spec.reg, spec.max_iter or 100), 4_000
     elif spec.classifier == "MLP":
         classifier = mlp(spec.num_features, spec.hidden_layers, spec.width, spec.max_iter or 200)
+        share = 500  # dense layers: far more arithmetic per row
     else:
         raise ValueError(f"unknown classifier {spec.classifier}")
     features = Pipeline(stages=stages).fit(rows)
     # every solver iteration reads the vectors, so they are computed once
     vectors = features.transform(rows).select("label", "features").persist()
     try:
-        fitted = classifier.fit(packed(vectors, vectors.count()))
+        fitted = classifier.fit(packed(vectors, vectors.count(), share))
     finally:
         vectors.unpersist()
     return Scorer(spec, PipelineModel([*features.stages, fitted]))

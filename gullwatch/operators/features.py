@@ -22,10 +22,12 @@ def term_counts(df: DataFrame, words: str = "words", id_col: str = "id") -> Data
     return tokens.filter(F.col("term") != "").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequency(df: DataFrame, words: str = "words") -> DataFrame:
-    """``(term, df)``; counted from each row's distinct tokens, so only partial counts move."""
-    terms = df.select(F.explode(F.array_distinct(words)).alias("term")).filter(F.col("term") != "")
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(tf: DataFrame) -> DataFrame:
+    """``(term, df)`` from :func:`term_counts`.
+
+    Joined back to the same counts, both sides read one shuffle of the texts.
+    """
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -45,10 +47,16 @@ def tfidf_terms(tf: DataFrame, frequencies: DataFrame, n_docs: DataFrame) -> Dat
 
 
 def universal_terms(df: DataFrame, words: str = "words") -> list[str]:
-    """Terms of every post. Each lies in the shortest post, which bounds their number."""
-    n = df.count()
-    rows = document_frequency(df, words).filter(F.col("df") >= n).select("term").collect()
-    return sorted(r.term for r in rows)
+    """Terms of every post. Each lies in the shortest post, so only its terms are counted."""
+    distinct = F.array_distinct(F.filter(F.col(words), lambda w: w != ""))
+    row = df.select(distinct.alias("terms")).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("terms", F.size("terms")).alias("shortest")
+    ).first()
+    if not row.n or not row.shortest:
+        return []
+    shared = F.array_intersect(F.col(words), F.array(*[F.lit(t) for t in row.shortest]))
+    counted = df.select(F.explode(shared).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.term for r in counted.filter(F.col("n") == row.n).select("term").collect())
 
 
 def weighted_term_sets(df: DataFrame, words: str = "words", target: str = "terms") -> DataFrame:

@@ -22,7 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal out rows when the input has fewer splits than the cluster has cores.
 
     Small or single-row-group files would leave text work on one core. Inputs with
-    enough splits, as any large table has, are returned as they are.
+    enough splits, as any large table has, are returned as they are. Apply it to a plain
+    scan: asking a plan with shuffles for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores + 1 else df
