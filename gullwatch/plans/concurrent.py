@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 In = TypeVar("In")
 Out = TypeVar("Out")
@@ -15,4 +16,4 @@ Out = TypeVar("Out")
 def side_by_side(work: Callable[[In], Out], items: Iterable[In], workers: int = 4) -> list[Out]:
     """Results in input order. A short job leaves cores idle that the next one can use."""
     with ThreadPoolExecutor(workers) as pool:
-        return list(pool.map(inheritable_thread_target(work), items))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
