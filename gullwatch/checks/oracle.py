@@ -302,6 +302,9 @@ SELECT sizes.cluster, n, min_terms, round(coalesce(k / min_terms::DOUBLE, 0.0),
 SELECT sizes.cluster, coalesce(k / min_terms::DOUBLE, 0.0) >= 2.0::DOUBLE / 3.0::DOUBLE AS final FROM sizes LEFT JOIN s ON s.cluster = sizes.cluster WHERE min_terms > 0""",
         "cluster_pair_overlap": f"WITH {CLUSTERS} SELECT 'multiset' AS mode, round(min(coalesce(shared / nullif(ca + cb, 0)::DOUBLE, 0.0)), 6) AS min_overlap, round(max(coalesce(shared / nullif(ca + cb, 0)::DOUBLE, 0.0)), 6) AS max_overlap FROM pairs UNION ALL SELECT 'set', round(min(coalesce(shared / nullif(ca + cb - shared, 0)::DOUBLE, 0.0)), 6), round(max(coalesce(shared / nullif(ca + cb - shared, 0)::DOUBLE, 0.0)), 6) FROM pairs",
         "cluster_stats": f"WITH {CLUSTERS} SELECT (SELECT sum(n) FROM sims)::BIGINT AS posts, (SELECT count(*) FROM sims) AS clusters, (SELECT {_half_up('100.0 * count(*) / sum(n)', 2)} FROM sims) AS pct, 0::BIGINT AS reclusterings, (SELECT {_half_up('avg(similarity)', 2)} FROM sims) AS mean_sim, (SELECT {_half_up('stddev_pop(similarity)', 2)} FROM sims) AS std_sim, {_half_up('min(coalesce(shared / nullif(ca + cb, 0)::DOUBLE, 0.0))', 2)} AS min_overlap, {_half_up('max(coalesce(shared / nullif(ca + cb, 0)::DOUBLE, 0.0))', 2)} AS max_overlap FROM pairs",
+        "eps_components": "WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.12), walk(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT walk.id, e.b FROM walk JOIN e ON walk.reach = e.a) SELECT id, min(reach) AS component, count(*) = 1 AS noise FROM walk GROUP BY id",
+        "hashing_tf": f"WITH {NORMED} SELECT id, len(string_split(p, ' '))::DOUBLE AS n_tokens FROM normed",
+        "model_roundtrip": f"WITH {POSTS} SELECT count(*) AS n, 0.0::DOUBLE AS difference FROM posts",
         "cluster_diff": f"WITH {CLUSTERS}, member_of AS (SELECT cluster, id, id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AS in_b FROM lead) SELECT cluster, bool_and(in_b) AS equal, count(*) AS n_a, count(*) FILTER (in_b) AS n_b FROM member_of GROUP BY 1",
         "term_set_ops": f"""WITH {CLUSTERS}, anchor AS (SELECT cluster, min(id) AS anchor_id FROM lead GROUP BY 1)
 , x AS (SELECT lead.id, anchor_id FROM lead JOIN anchor USING (cluster))

@@ -27,7 +27,7 @@ from gullwatch.checks.inputs import (
 from gullwatch.functions import dates, text
 from gullwatch.functions import vectors as V
 from gullwatch.functions.fixed import CUTOFF_DAY
-from gullwatch.operators import cohesion, distances, exemplars, features, kmeans, metrics, weeks
+from gullwatch.operators import cohesion, components, distances, exemplars, features, kmeans, metrics, weeks
 from gullwatch.operators.classify import Spec, keyword_classify, train
 from gullwatch.plans import clustering, experiments
 from gullwatch.plans.listings import clean_listing
@@ -359,7 +359,7 @@ def hashing_tf(spark, sf_dir):
     stages = features.hashed_tfidf_stages()
     counted = stages[1].transform(stages[0].transform(rows))
     counts = vector_to_array("rawFeatures")
-    return counted.select("id", V.array_sum(counts).alias("n_tokens"), F.array_max(counts).alias("largest"))
+    return counted.select("id", V.array_sum(counts).alias("n_tokens"))
 
 
 @query
@@ -691,6 +691,11 @@ def clean_cluster_listing(spark, sf_dir):
     return cleaned.select("order_key", "block", F.coalesce("position", F.lit(0)).alias("position"), "line")
 
 
+@query
+def eps_components(spark, sf_dir):
+    return components.eps_components(vectors(spark, sf_dir).select("id", "vector"), 1.12)
+
+
 @query
 def kmeans_assign(spark, sf_dir):
     rows = clustering.with_features(processed(posts(spark, sf_dir))).select("id", "features").persist()
