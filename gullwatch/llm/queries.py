@@ -4,10 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, minhash
-from gullwatch.llm.common import read_table
+from gullwatch.llm import decontaminate, fingerprints, language, minhash, packing, token_files
+from gullwatch.llm.common import crc32_fold, read_table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fold = crc32_fold(F.col("doc_id"), 5)
+    predicted = language.predict(docs, language.train(docs, fold != 0))
+    return predicted.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +39,18 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_language_id,
+    op3_token_files,
+    op4_packing,
+    op5_document_fingerprints,
+    op7_benchmark_decontamination,
+    op10_minhash_near_duplicates,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_benchmark_decontamination, op10_minhash_near_duplicates)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
