@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, language, minhash, packing
+from gullwatch.llm import decontaminate, language, minhash, packing, secrets
 from gullwatch.llm.common import crc32_fold, kept_table, read_table, settings
+from gullwatch.session import scratch_path
 
 #: SQL cannot express language ID and packing; tests hold the pipeline against brute force.
 ORACLE_SQL: str | None = None
@@ -35,6 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret span is masked; all documents stay."""
+    return secrets.redact(docs, scratch_path(spark, "blob-ledger"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 1024 tokens."""
     settings(spark)
@@ -45,6 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language_id", language_id),
     ("minhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
+    ("secret_scan", secret_scan),
     ("packing", pack),
 ]
 

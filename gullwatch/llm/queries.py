@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, fingerprints, language, minhash, packing, token_files
+from gullwatch.llm import decontaminate, fingerprints, language, minhash, packing, secrets, token_files
 from gullwatch.llm.common import crc32_fold, read_table
+from gullwatch.session import scratch_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger"))
+
+
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = (
     op4_packing,
     op5_document_fingerprints,
     op7_benchmark_decontamination,
+    op8_secret_scan,
     op10_minhash_near_duplicates,
 )
 
