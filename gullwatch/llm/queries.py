@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, fingerprints, language, minhash, packing, secrets, token_files
+from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, token_files
 from gullwatch.llm.common import crc32_fold, read_table
 from gullwatch.session import scratch_path
 
@@ -40,6 +40,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fold = crc32_fold(F.col("doc_id"), 5)
+    model, counts = mixing.train(docs, fold != 1)
+    scored = mixing.score(docs, model, counts)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_token")
+
+
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,7 @@ QUERIES = (
     op5_document_fingerprints,
     op7_benchmark_decontamination,
     op8_secret_scan,
+    op9_lm_scores,
     op10_minhash_near_duplicates,
 )
 
