@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, token_files
+from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, site_style, token_files
 from gullwatch.llm.common import crc32_fold, read_table
 from gullwatch.session import scratch_path
 
@@ -32,6 +32,10 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = (
     op3_token_files,
     op4_packing,
     op5_document_fingerprints,
+    op6_main_text,
     op7_benchmark_decontamination,
     op8_secret_scan,
     op9_lm_scores,
