@@ -7,8 +7,9 @@ band bucket every member is a candidate with the bucket's smallest member only;
 is kept when its collision-corrected estimate, by bit counts of the packed signatures, does
 not lie surely below the threshold, and confirmed on the full shingle sets. Confirmed links
 give components; a bucket whose members all lie in one component needs nothing more. The
-members of the other buckets are compared across their components, in blocks of signatures
-inside tasks, so that no link is lost and no pair within a component is ever formed.
+members of the other buckets are compared across their components, in blocks inside tasks
+that emit likely links alone, so that no link is lost and no pair within a component is
+ever formed.
 
 Defined results: no words, null or empty text: empty set, linked with nothing; fewer words
 than a shingle: the whole sequence is the one shingle; repeated ids are one document (the
@@ -138,7 +139,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def _hash_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         ids, sets = shingle_sets(batch, shingle)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.unique(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["id", "hashes", "low"])
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -179,33 +180,50 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _block_pairs(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of one block couple that lie in different components and are not ruled out."""
+def _block_pairs(table: pa.Table, least: float, percent: int) -> pa.Table:
+    """Links of one block couple between different components, each in the first band that both rows share.
+
+    The estimate rules out most pairs; of the others the sets of low hash halves are
+    intersected, which can only overstate what two sets share.
+    """
     column = lambda n: table.column(n).to_numpy()
-    side, rep, component = column("side"), column("rep"), column("component")
+    side, rep, component, sizes, band = (column(n) for n in ("side", "rep", "component", "n_shingles", "band"))
     longs = np.stack([column(f"s{k}") for k in range(4)], 1)
+    bands = np.stack([table.column(f"b{k}").to_numpy() for k in range(BANDS)], 1)
+    lows = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("low")]
     big, small = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-    near = estimate(longs[big][:, None, :], longs[small][None, :, :]) >= least
-    i, j = np.nonzero(near & (component[big][:, None] != component[small][None, :]))
-    x, y = rep[big[i]], rep[small[j]]
-    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-
-def open_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, least: float) -> DataFrame | None:
-    """Candidate pairs across components of the buckets that hold several; None if there are none.
-
-    In such a bucket the members of the centre's component are the big side. They meet the
+    found = []
+    for i in big:
+        js = small[(component[small] != component[i]) & (100 * np.minimum(sizes[small], sizes[i]) >= percent * np.maximum(sizes[small], sizes[i]))]
+        js = js[estimate(longs[i][None, :], longs[js]) >= least]
+        js = js[(bands[js] == bands[i]).argmax(1) == band[i]]
+        if len(js):
+            flat = np.concatenate([lows[j] for j in js])
+            place = np.minimum(np.searchsorted(lows[i], flat), len(lows[i]) - 1)
+            bounds = np.cumsum([0, *(len(lows[j]) for j in js[:-1])])
+            shared = np.add.reduceat((lows[i][place] == flat).astype(np.int64), bounds)
+            shared += np.maximum(sizes[i] - len(lows[i]), sizes[js] - np.array([len(lows[j]) for j in js]))  # equal halves inside a set
+            for j in js[100 * shared >= percent * (sizes[i] + sizes[js] - shared)]:
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    both = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+
+def open_pairs(buckets: DataFrame, reps: DataFrame, hashes: DataFrame, components: DataFrame, least: float, percent: int) -> DataFrame:
+    """Likely links across components of the buckets that hold several.
+
+    In such a bucket the members of the smallest component are the big side. They meet the
     others only, block by block, and the others meet each other.
     """
-    named = buckets.join(components, buckets["rep"] == components["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    named = buckets.join(components, buckets["rep"] == components["node"], "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main < last").select("bucket", "main")
-    members = kept_table(named.join(mixed, "bucket").select("bucket", "rep", "component", F.expr("component = main").alias("big")), "members")
+    members = kept_table(named.join(mixed, "bucket").select("bucket", "band", "rep", "component", F.expr("component = main").alias("big")), "members")
     sizes = members.groupBy("bucket").agg(F.expr(f"int(ceil(count_if(big) / {BLOCK}))").alias("bigs"), F.expr(f"int(ceil(count_if(not big) / {BLOCK}))").alias("smalls"))
     rows = members.join(sizes, "bucket").withColumn("own", F.expr("int(pmod(xxhash64(rep), if(big, bigs, smalls)))"))
     # couples (x, y): x is a big block below bigs or a small block from there on, y a small block
     placed = rows.select(
         "bucket",
+        "band",
         "rep",
         "component",
         F.explode(
@@ -216,9 +234,10 @@ def open_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, least
                            'side', if(o = own, 3, if(own < o, 1, 2))))))"""
             )
         ).alias("at"),
-    ).select("bucket", "rep", "component", "at.x", "at.y", "at.side")
-    signed = placed.join(reps.select("rep", "s0", "s1", "s2", "s3"), "rep")
-    return signed.groupBy("bucket", "x", "y").applyInArrow(lambda t: _block_pairs(t, least), "a long, b long").distinct()
+    ).select("bucket", "band", "rep", "component", "at.x", "at.y", "at.side")
+    known = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3", *(F.col("bands")[k].alias(f"b{k}") for k in range(BANDS))).join(hashes.select(F.col("id").alias("rep"), "low"), "rep")
+    dealt = placed.join(known, "rep").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y")
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(lambda t: _block_pairs(t, least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -230,17 +249,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         full.groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "s0", "s1", "s2", "s3", "bands")).alias("first")).select("set_key", "n_shingles", F.col("first.doc_id").alias("rep"), "first.s0", "first.s1", "first.s2", "first.s3", "first.bands"),
         "reps",
     )
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
+    exploded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     centres = exploded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
-    buckets = kept_table(exploded.join(centres, "bucket").select("bucket", "rep", "centre"), "buckets")
+    buckets = kept_table(exploded.join(centres, "bucket").select("bucket", "band", "rep", "centre"), "buckets")
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = own.join(wanted, own["doc_id"] == wanted["id"], "left_semi")
-    hashes = kept_table(texts.mapInArrow(lambda batches: _hash_batches(batches, shingle), "id long, hashes binary"), "hashes")
+    hashes = kept_table(texts.mapInArrow(lambda batches: _hash_batches(batches, shingle), "id long, hashes binary, low binary"), "hashes")
     links = kept_table(_confirmed(_likely(stars, reps, least), hashes, percent), "stars")
     components = smallest_reachable(links)
-    rest = kept_table(open_pairs(buckets, reps, components, least), "rest")
+    rest = kept_table(open_pairs(buckets, reps, hashes, components, least, percent), "rest")
     if not rest.isEmpty():
         more = kept_table(_confirmed(rest.join(stars, ["a", "b"], "left_anti"), hashes, percent), "more")
         if not more.isEmpty():
