@@ -92,7 +92,7 @@ def band_values(minima: np.ndarray) -> np.ndarray:
 
 def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Similarity of packed signatures, corrected for minima whose low bits agree by chance."""
-    differing = left ^ right
+    differing = (left ^ right).view(np.uint64)  # the bits of a signed number would be those of its absolute value
     half = differing.shape[-1] // BITS
     unequal = differing[..., :half].copy()
     for b in range(1, BITS):
@@ -180,33 +180,67 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _block_pairs(table: pa.Table, least: float, percent: int) -> pa.Table:
+def _block_links(side, rep, component, sizes, band, longs, bands, lows, least: float, percent: int) -> np.ndarray:
     """Links of one block couple between different components, each in the first band that both rows share.
 
     The estimate rules out most pairs; of the others the sets of low hash halves are
     intersected, which can only overstate what two sets share.
     """
-    column = lambda n: table.column(n).to_numpy()
-    side, rep, component, sizes, band = (column(n) for n in ("side", "rep", "component", "n_shingles", "band"))
-    longs = np.stack([column(f"s{k}") for k in range(4)], 1)
-    bands = np.stack([table.column(f"b{k}").to_numpy() for k in range(BANDS)], 1)
-    lows = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("low")]
     big, small = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    near = component[big][:, None] != component[small][None, :]
+    near &= 100 * np.minimum(sizes[big][:, None], sizes[small][None, :]) >= percent * np.maximum(sizes[big][:, None], sizes[small][None, :])
+    i, j = np.nonzero(near)
+    i, j = big[i], small[j]
+    keep = estimate(longs[i], longs[j]) >= least
+    i, j = i[keep], j[keep]
+    keep = (bands[i] == bands[j]).argmax(1) == band
+    i, j = i[keep], j[keep]
     found = []
-    for i in big:
-        js = small[(component[small] != component[i]) & (100 * np.minimum(sizes[small], sizes[i]) >= percent * np.maximum(sizes[small], sizes[i]))]
-        js = js[estimate(longs[i][None, :], longs[js]) >= least]
-        js = js[(bands[js] == bands[i]).argmax(1) == band[i]]
-        if len(js):
-            flat = np.concatenate([lows[j] for j in js])
-            place = np.minimum(np.searchsorted(lows[i], flat), len(lows[i]) - 1)
-            bounds = np.cumsum([0, *(len(lows[j]) for j in js[:-1])])
-            shared = np.add.reduceat((lows[i][place] == flat).astype(np.int64), bounds)
-            shared += np.maximum(sizes[i] - len(lows[i]), sizes[js] - np.array([len(lows[j]) for j in js]))  # equal halves inside a set
-            for j in js[100 * shared >= percent * (sizes[i] + sizes[js] - shared)]:
-                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-    both = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+    bounds = np.flatnonzero(np.diff(i, prepend=-1))
+    for x, y in zip(bounds, np.append(bounds[1:], len(i))):
+        one, others = lows[i[x]], [lows[k] for k in j[x:y]]
+        flat = np.concatenate(others)
+        place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        lengths = np.array([len(o) for o in others])
+        shared = np.add.reduceat((one[place] == flat).astype(np.int64), np.cumsum(lengths) - lengths)
+        shared += np.maximum(sizes[i[x]] - len(one), sizes[j[x:y]] - lengths)  # equal halves inside a set
+        linked = j[x:y][100 * shared >= percent * (sizes[i[x]] + sizes[j[x:y]] - shared)]
+        found.append(np.stack([np.minimum(rep[i[x]], rep[linked]), np.maximum(rep[i[x]], rep[linked])], 1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Block couples stand one after the other; one has at most 2 * BLOCK rows and some by chance."""
+    held: list[pa.RecordBatch] = []
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        column = lambda n: table.column(n).to_numpy()
+        side, rep, component, sizes, band = (column(n) for n in ("side", "rep", "component", "n_shingles", "band"))
+        longs = np.stack([column(f"s{k}") for k in range(4)], 1)
+        bands = np.stack([column(f"b{k}") for k in range(BANDS)], 1)
+        lows = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("low")]
+        cuts = [0, *_changes(table), len(rep)]
+        found = [
+            _block_links(side[a:b], rep[a:b], component[a:b], sizes[a:b], band[a], longs[a:b], bands[a:b], lows[a:b], least, percent) for a, b in zip(cuts, cuts[1:]) if b - a > 1
+        ]
+        both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        whole = pa.Table.from_batches(held)
+        changes = _changes(whole)
+        if len(changes):  # all couples but the last are complete
+            yield solved(whole.slice(0, changes[-1]))
+            held = whole.slice(changes[-1]).combine_chunks().to_batches()
+    if held:
+        yield solved(pa.Table.from_batches(held))
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    """Rows at which another block couple begins."""
+    keys = [table.column(c).to_numpy() for c in ("bucket", "x", "y")]
+    return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
 
 
 def open_pairs(buckets: DataFrame, reps: DataFrame, hashes: DataFrame, components: DataFrame, least: float, percent: int) -> DataFrame:
@@ -236,8 +270,8 @@ def open_pairs(buckets: DataFrame, reps: DataFrame, hashes: DataFrame, component
         ).alias("at"),
     ).select("bucket", "band", "rep", "component", "at.x", "at.y", "at.side")
     known = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3", *(F.col("bands")[k].alias(f"b{k}") for k in range(BANDS))).join(hashes.select(F.col("id").alias("rep"), "low"), "rep")
-    dealt = placed.join(known, "rep").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y")
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(lambda t: _block_pairs(t, least, percent), "a long, b long").distinct()
+    dealt = placed.join(known, "rep").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInArrow(lambda batches: _block_batches(batches, least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
