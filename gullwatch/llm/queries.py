@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, site_style, token_files
+from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, site_style, suffix_dedup, token_files
 from gullwatch.llm.common import crc32_fold, read_table
 from gullwatch.session import scratch_path
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
@@ -58,6 +62,7 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_language_id,
+    op2_suffix_dedup,
     op3_token_files,
     op4_packing,
     op5_document_fingerprints,
