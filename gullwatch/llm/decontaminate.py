@@ -6,7 +6,8 @@ that found it. Beyond that bound the same windows are joined on their hash inste
 the candidate windows of the documents; the result is the same.
 
 Defined results: a null or empty text has no words, is never hit and never an item; an item
-of fewer words than the window is one window of its own length; equal windows of several
+of fewer words than the window is one window of its own length; an item without an id is
+not read; rows without a doc_id are judged like others; equal windows of several
 items count for each of them; repeated documents are judged one by one; extra columns of
 either table are ignored by ``scan`` and kept by ``decontaminate``.
 """
@@ -114,7 +115,7 @@ def _byte_spans(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> byte
 def benchmark_windows(spark: SparkSession, benchmark: DataFrame, window: int, max_windows: int):
     """The table of windows, and their broadcast if there are at most ``max_windows``."""
     windows = kept_table(
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(
             lambda batches: item_windows(batches, window), "hash long, n int, words binary, item_id long"
         ),
         "windows",
@@ -135,7 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
 
     Up to ``max_windows`` benchmark windows are broadcast; beyond it ``scan_joined`` takes over.
     """
-    taken = docs.select("doc_id", "text")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows, table = benchmark_windows(docs.sparkSession, benchmark, window, max_windows)
     if table is None:
         return scan_joined(taken, windows)
@@ -152,7 +153,8 @@ def scan_joined(taken: DataFrame, windows: DataFrame) -> DataFrame:
     hits = found.join(windows, ["hash", "n", "words"])
     per_doc = hits.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("j", "n", "a", "b")).alias("hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     counts = taken.mapInArrow(lambda batches: _document_words(batches), "doc_id long, row_key long, n_words long")
-    merged = counts.join(per_doc, ["doc_id", "row_key"], "left")
+    per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "hit", "items")
+    merged = counts.join(per_doc, counts["doc_id"].eqNullSafe(per_doc["_doc"]) & (counts["row_key"] == per_doc["_key"]), "left").select("doc_id", "n_words", "hit", "items")
     return merged.mapInArrow(_merge_hits, _SCAN)
 
 
@@ -162,7 +164,7 @@ def _row_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        ids = long_column(batch, "doc_id")
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
         raw, at = utf8(batch.column(batch.schema.get_field_index("text")))
         data, keys = _normal(raw), _row_key(raw, at)
         starts, ends, first, row, _, grams = _windows(data, at, sizes)
@@ -172,7 +174,7 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> It
                 words = [b" ".join(data[starts[j + k] : ends[j + k]].tobytes() for k in range(n)) for j in part]
                 own = row[part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own], pa.int64()), pa.array(keys[own]), pa.array((part - first[own]).astype(np.int32)), pa.array(grown[part].view(np.int64)), pa.array(np.full(len(part), n, np.int32)), pa.array(words, pa.binary()), pa.array((starts[part] - at[own]).astype(np.int32)), pa.array((ends[part + n - 1] - at[own]).astype(np.int32))],
+                    [ids.take(pa.array(own)), pa.array(keys[own]), pa.array((part - first[own]).astype(np.int32)), pa.array(grown[part].view(np.int64)), pa.array(np.full(len(part), n, np.int32)), pa.array(words, pa.binary()), pa.array((starts[part] - at[own]).astype(np.int32)), pa.array((ends[part + n - 1] - at[own]).astype(np.int32))],
                     names=["doc_id", "row_key", "j", "hash", "n", "words", "a", "b"],
                 )
 

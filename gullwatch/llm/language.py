@@ -227,11 +227,12 @@ def _gradient(scores: np.ndarray, steps: np.ndarray, truth: np.ndarray) -> tuple
 
 def train(docs: DataFrame, learn: Column) -> Model:
     """Fit on the bounded sample of rows with a label where ``learn`` holds."""
-    own = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.where(learn).select("doc_id", "lang", "text")
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # the rank limit is applied before the shuffle, so a label sends few rows from each task
     chosen = own.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= ROWS_PER_LABEL).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    texts = docs.where(learn).join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang")))
+    texts = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang")))
     rows = texts.select("_id", "_lang", F.col("text").alias("_text")).collect()
     rows = sorted(rows, key=lambda r: (r._lang, r._id, r._text))
     return fit([r._text for r in rows], [r._lang for r in rows])

@@ -13,7 +13,8 @@ ever formed.
 
 Defined results: no words, null or empty text: empty set, linked with nothing; fewer words
 than a shingle: the whole sequence is the one shingle; repeated ids are one document (the
-component holds all their sets); extra columns are not read.
+component holds all their sets); rows without an id are linked with nothing and kept; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _ADDENDS = _rng.randint(0, 1 << 32, HASHES, dtype=np.int64).astype(np.uint32)
 _SETS = "doc_id long, n_shingles long, set_key long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
-def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[pa.Array, list[np.ndarray]]:
     """Ids and the sorted distinct shingle hashes of each row."""
     data, at = utf8(batch.column(batch.schema.get_field_index("text")))
     data = LOWER[data]
@@ -58,7 +59,7 @@ def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, list[
             out.append(gram_hashes(words[a:b], int(b - a)) ^ np.uint64(b - a))
         else:
             out.append(np.zeros(0, np.uint64))
-    return long_column(batch, "doc_id"), out
+    return batch.column(batch.schema.get_field_index("doc_id")), out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,7 +116,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
             for i in full:
                 keys[i] = mix((mix(sets[i]).sum(dtype=np.uint64) ^ np.uint64(sizes[i])).reshape(1)).view(np.int64)[0]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(keys), *(pa.array(longs[:, k].copy()) for k in range(4)), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))],
+            [ids, pa.array(sizes), pa.array(keys), *(pa.array(longs[:, k].copy()) for k in range(4)), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"],
         )
 
@@ -139,7 +140,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def _hash_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         ids, sets = shingle_sets(batch, shingle)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.unique(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["id", "hashes", "low"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.unique(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["id", "hashes", "low"])
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id and kept of every document."""
     least = percent / 100 - SLACK
     sets = kept_table(document_sets(docs, shingle), "sets")
-    full = sets.where("n_shingles > 0")
+    full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = kept_table(
         full.groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "s0", "s1", "s2", "s3", "bands")).alias("first")).select("set_key", "n_shingles", F.col("first.doc_id").alias("rep"), "first.s0", "first.s1", "first.s2", "first.s3", "first.bands"),
         "reps",
@@ -299,8 +300,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if not more.isEmpty():
             components = smallest_reachable(links.union(more))
     classes = reps.join(components, reps["rep"] == components["node"], "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    joined = sets.join(classes, ["set_key", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    joined = sets.join(classes, ["set_key", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -146,7 +146,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
 def redact(docs: DataFrame, ledger: str, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``mask`` and ``n_chars``, if there, counted anew."""
     update_ledger(docs, ledger, rules)
-    found = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    found = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias("__redact_blob"), F.col("spans").alias("__redact_spans"))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(x: Column, s: Column) -> Column:
@@ -154,15 +154,15 @@ def redact(docs: DataFrame, ledger: str, mask: str = "[SECRET]", rules: tuple[Ru
         before = F.when(fresh, F.concat(F.substring(F.col("text"), x["at"] + 1, s["start"] - x["at"]), F.lit(mask))).otherwise(F.lit(""))
         return F.struct(F.greatest(s["stop"], x["at"]).alias("at"), F.concat(x["out"], before).alias("out"))
 
-    clean = F.aggregate("_spans", state, step, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.length("text"))))
-    joined = docs.withColumn("_hash", blob(F.col("text"))).join(found, F.col("_hash") == F.col("_blob"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
+    clean = F.aggregate("__redact_spans", state, step, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.length("text"))))
+    joined = docs.withColumn("__redact_hash", blob(F.col("text"))).join(found, F.col("__redact_hash") == F.col("__redact_blob"), "left")
+    text = F.when(F.col("__redact_spans").isNull(), F.col("text")).otherwise(clean)
     columns = []
     for name in docs.columns:
         if name == "text":
             columns.append(text.alias(name))
         elif name == "n_chars":
-            columns.append(F.when(F.col("_spans").isNull(), F.col(name)).otherwise(F.length(text)).cast(docs.schema[name].dataType).alias(name))
+            columns.append(F.when(F.col("__redact_spans").isNull(), F.col(name)).otherwise(F.length(text)).cast(docs.schema[name].dataType).alias(name))
         else:
             columns.append(F.col(f"`{name}`"))
     return joined.select(*columns)
