@@ -45,6 +45,12 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(documents(spark, sf_dir))
 
 
+def with_blanks(df: DataFrame) -> DataFrame:
+    """Every Spanish post a second time without text: rows whose token lists are empty."""
+    blank = df.filter(F.col("lang") == "es").withColumn("id", F.concat("id", F.lit("-blank")))
+    return df.unionByName(blank.withColumn("tweet", F.lit("")))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled posts."""
     return texts(spark, sf_dir).join(labels(spark, sf_dir), "id")

@@ -39,17 +39,19 @@ def _below_thousand(n: str) -> str:
 
 
 def _numbers(c: str) -> str:
+    count = "CAST(ceil(length(ltrim(x, '0')) / 12) AS INTEGER)"
+    twelve = f"substr(lpad(ltrim(x, '0'), {count} * 12, '0'), CAST(i AS INTEGER) * 12 + 1, 12)"
     groups = []
-    for i, scale in enumerate(["billion", "million", "thousand", ""]):
-        n = f"TRY_CAST(substr(lpad(ltrim(x, '0'), 12, '0'), {3 * i + 1}, 3) AS INTEGER)"
+    for k, scale in enumerate(["billion", "million", "thousand", ""]):
+        n = f"TRY_CAST(substr({twelve}, {3 * k + 1}, 3) AS INTEGER)"
         words = _below_thousand(n) + (f" || ' {scale}'" if scale else "")
         groups.append(f"CASE WHEN {n} > 0 THEN {words} END")
-    digits = f"list_transform(string_split(ltrim(x, '0'), ''), lambda d: {_strings(UNIT_WORDS)}[TRY_CAST(d AS INTEGER) + 1])"
+    words = f"concat_ws(' ', {', '.join(groups)})"
+    named = f"list_transform(range({count}), lambda i: CASE WHEN {words} <> '' THEN {words} || repeat(' trillion', {count} - 1 - CAST(i AS INTEGER)) END)"
     return (
         f"array_to_string(list_transform(regexp_extract_all({c}, '([0-9]+|[^0-9]+)'), lambda x: "
         f"CASE WHEN NOT regexp_matches(x, '^[0-9]') THEN x WHEN ltrim(x, '0') = '' THEN 'zero ' "
-        f"WHEN length(ltrim(x, '0')) <= 12 THEN concat_ws(' ', {', '.join(groups)}) || ' ' "
-        f"ELSE array_to_string({digits}, ' ') || ' ' END), '')"
+        f"ELSE array_to_string({named}, ' ') || ' ' END), '')"
     )
 
 
@@ -103,8 +105,13 @@ DOCS = """docs AS (
 POSTS = DOCS + """, posts AS (
   SELECT docs.*, l.quality AS label, l.toxic FROM docs
   JOIN labels l ON docs.id = CAST(l.doc_id AS VARCHAR))"""
+BLANKS = (
+    DOCS.replace("docs AS", "given AS", 1)
+    + ", docs AS (SELECT * FROM given UNION ALL SELECT id || '-blank', date, day, '', source, lang, dataset, period FROM given WHERE lang = 'es')"
+)
 NORMED = DOCS + f", normed AS MATERIALIZED (SELECT *, {_normalised('tweet')} AS p FROM docs)"
 HIT = " OR ".join(f"contains(p, '{t}')" for t in ATTACK_TERMS)
+ALL_SCORED = NORMED + f", scored AS (SELECT *, CASE WHEN {HIT} THEN CAST(1.0 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END AS prediction FROM normed)"
 SCORED = (
     POSTS
     + f", normed AS MATERIALIZED (SELECT *, {_normalised('tweet')} AS p FROM posts)"
@@ -162,6 +169,13 @@ DICTIONARY = f"""words AS (
   SELECT token, embedding FROM words JOIN embeddings
     ON vec_id = ('0x' || substr(md5(token), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)
   UNION ALL SELECT '<UNK>', embedding FROM embeddings WHERE vec_id = 0)"""
+BLANK_TOKENS, BLANK_NORMED = TOKENS.replace(DOCS, BLANKS), NORMED.replace(DOCS, BLANKS)
+#: Mean vectors by post and position; posts without tokens are all zero.
+VECTOR_MEANS = f"""WITH {BLANK_TOKENS}, {DICTIONARY}
+, v AS (SELECT id, tf, coalesce(d.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>')) AS e FROM tf LEFT JOIN dict d ON term = token)
+, u AS (SELECT id, tf, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) - 1 AS pos FROM v)
+, m AS (SELECT id, pos::INTEGER AS pos, sum(tf * x) / sum(tf) AS x FROM u GROUP BY 1, 2
+  UNION ALL SELECT id, p::INTEGER, 0.0 FROM docs, (SELECT unnest(range(64)) AS p) WHERE id NOT IN (SELECT id FROM tf))"""
 FOLD = "CAST(('0x' || substr(md5(id), 1, 8))::BIGINT % 10 AS INTEGER)"
 
 
@@ -236,16 +250,17 @@ def oracle_sql() -> dict[str, str]:
         "text_signature_clean": f"WITH {DOCS} SELECT id, {_signature_clean('tweet')} AS t FROM docs",
         "tokens": f"WITH {DOCS} SELECT id, array_to_string(regexp_split_to_array(rtrim(lower(tweet), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s'), '|') AS t, len(regexp_split_to_array(rtrim(lower(tweet), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s'))::INTEGER AS n FROM docs",
         "token_signature": f"WITH {NORMED} SELECT id, {_sorted_tokens('p')} AS t FROM normed",
-        "keyword_score": f"WITH {SCORED} SELECT id, prediction AS score FROM scored",
+        "keyword_score": f"WITH {ALL_SCORED} SELECT id, prediction AS score FROM scored",
         # dates
         "post_day": f"WITH {DOCS} SELECT id, day FROM docs",
         "week_of_year": f"SELECT o_orderkey, {_week('CAST(o_orderdate AS DATE)', 7, 1)} AS week_us, {_week('CAST(o_orderdate AS DATE)', 1, 4)} AS week_iso_rule FROM orders",
         "cluster_dates": "SELECT user_id AS cluster, strftime(min(ts), '%Y/%m/%d %H:%M:%S') AS first_date, strftime(max(ts), '%Y/%m/%d %H:%M:%S') AS last_date FROM events GROUP BY 1",
         "round_half_up": f"SELECT event_id, {_half_up('value / 4', 2)} AS two, {_half_up('value / 4', 1)} AS one FROM events",
-        "week_buckets": f"""WITH {POSTS}, days AS (SELECT DISTINCT day, {_week('day', 1, 4)} AS week FROM posts WHERE day > DATE '2016-04-01')
+        "week_buckets": f"""WITH {DOCS}, dated AS (SELECT id, CASE WHEN lang <> 'es' THEN day END AS day FROM docs)
+, days AS (SELECT DISTINCT day, {_week('day', 1, 4)} AS week FROM dated WHERE day IS NOT NULL)
 , starts AS (SELECT day, week, CASE WHEN week IS DISTINCT FROM lag(week) OVER (ORDER BY day) OR year(day) IS DISTINCT FROM lag(year(day)) OVER (ORDER BY day) THEN 1 ELSE 0 END AS s FROM days)
 , buckets AS (SELECT day, week, CAST(sum(s) OVER (ORDER BY day) AS BIGINT) AS week_bucket FROM starts)
-SELECT id, week, week_bucket FROM posts JOIN buckets USING (day)""",
+SELECT id, coalesce(week, -1) AS week, coalesce(week_bucket, -1) AS week_bucket FROM dated LEFT JOIN buckets USING (day)""",
         "weekly_counts": f"""WITH {SCORED}, pos AS (SELECT day, {_week('day', 1, 4)} AS week FROM scored WHERE prediction > 0 AND day > DATE '2016-04-01')
 , w AS (SELECT year(day) AS y, week, count(*) AS n_posts FROM pos GROUP BY 1, 2)
 SELECT row_number() OVER (ORDER BY y, week) AS week_bucket, week, n_posts FROM w""",
@@ -266,14 +281,14 @@ SELECT row_number() OVER (ORDER BY y, week) AS week_bucket, week, n_posts FROM w
 , w AS (SELECT id, term, tf, coalesce(fitted.df, 0) AS df, tf * ln(((SELECT n FROM n) + 1.0) / (coalesce(fitted.df, 0) + 1.0)) AS weight FROM tf LEFT JOIN fitted USING (term) WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))
 SELECT id, term, tf, df, round(weight, 6) AS weight FROM w WHERE df < (SELECT n FROM n)""",
         "max_tokens": f"WITH {NORMED} SELECT max(len(string_split(p, ' ')))::INTEGER AS max_tokens FROM normed",
-        "linear_score": f"WITH {TOKENS} SELECT id, round(sum(weight * ((df % 7) - 3) / 10.0), 4) AS margin FROM weights GROUP BY 1",
+        "linear_score": f"WITH {BLANK_TOKENS}, m AS (SELECT id, sum(weight * ((df % 7) - 3) / 10.0) AS margin FROM weights GROUP BY 1) SELECT docs.id, round(coalesce(margin, 0.0), 4) AS margin FROM docs LEFT JOIN m USING (id)",
         "token_embedding_lookup": f"WITH {TOKENS}, {DICTIONARY}, t AS (SELECT term AS token, sum(tf)::BIGINT AS n FROM tf GROUP BY 1) SELECT t.token, n, d.token IS NOT NULL AS known, round(list_sum(coalesce(d.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>'))::DOUBLE[]), 6) AS total FROM t LEFT JOIN dict d ON t.token = d.token",
-        "doc_vector_mean": f"WITH {TOKENS}, {DICTIONARY}, v AS (SELECT id, tf, coalesce(d.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>')) AS e FROM tf LEFT JOIN dict d ON term = token), u AS (SELECT id, tf, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) - 1 AS pos FROM v) SELECT id, pos::INTEGER AS pos, round(sum(tf * x) / sum(tf), 6) AS x FROM u GROUP BY id, pos",
-        "embed_preview": f"WITH {TOKENS}, {DICTIONARY}, v AS (SELECT id, tf, coalesce(d.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>')) AS e FROM tf LEFT JOIN dict d ON term = token), u AS (SELECT id, tf, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) AS pos FROM v), m AS (SELECT id, pos, sum(tf * x) / sum(tf) AS x FROM u GROUP BY 1, 2) SELECT id, round(sum(x), 6) AS total FROM m GROUP BY 1 ORDER BY id LIMIT 1000",
-        "doc_vector_concat": f"WITH {NORMED}, {DICTIONARY}, t AS (SELECT id, unnest(string_split(p, ' ')) AS token, unnest(range(len(string_split(p, ' ')))) AS pos FROM normed), s AS (SELECT token, coalesce(dict.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>')) AS e FROM (SELECT DISTINCT token FROM t) LEFT JOIN dict USING (token)), u AS (SELECT token, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) - 1 AS j FROM s) SELECT id, ((SELECT max(pos) + 1 FROM t) * 64)::BIGINT AS size, count(*) AS n_values, round(sum(x * ((pos * 64 + j) % 7 + 1)), 4) AS checksum FROM t JOIN u USING (token) GROUP BY id",
+        "doc_vector_mean": f"{VECTOR_MEANS} SELECT id, pos, round(x, 6) AS x FROM m",
+        "embed_preview": f"{VECTOR_MEANS} SELECT id, round(sum(x), 6) AS total FROM m GROUP BY 1 ORDER BY id LIMIT 1000",
+        "doc_vector_concat": f"WITH {BLANK_NORMED}, {DICTIONARY}, t AS (SELECT id, unnest(string_split(p, ' ')) AS token, unnest(range(len(string_split(p, ' ')))) AS pos FROM normed), s AS (SELECT token, coalesce(dict.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>')) AS e FROM (SELECT DISTINCT token FROM t) LEFT JOIN dict USING (token)), u AS (SELECT token, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) - 1 AS j FROM s) SELECT id, ((SELECT max(pos) + 1 FROM t) * 64)::BIGINT AS size, count(*) AS n_values, round(sum(x * ((pos * 64 + j) % 7 + 1)), 4) AS checksum FROM t JOIN u USING (token) GROUP BY id",
         # classification
         "positives": f"WITH {POSTS} SELECT id, label FROM posts WHERE label = 1",
-        "predicted_positives": f"WITH {SCORED} SELECT id, prediction FROM scored WHERE prediction > 0",
+        "predicted_positives": f"WITH {ALL_SCORED} SELECT id, prediction FROM scored WHERE prediction > 0",
         "confusion_counts": f"WITH {SCORED}{_metrics('scored', 'source')} SELECT source, tp, fp, tn, fn FROM counts",
         "classification_metrics": f"WITH {SCORED}{_metrics('scored', 'dataset')} SELECT * FROM metrics",
         "keyword_classify": f"WITH {SCORED}{_metrics('scored')} SELECT * FROM metrics",
@@ -286,7 +301,7 @@ SELECT id, term, tf, df, round(weight, 6) AS weight FROM w WHERE df < (SELECT n
         "fold_split": f"WITH {DOCS} SELECT id, {FOLD} AS fold FROM docs",
         "ratio_split": f"WITH {DOCS} SELECT id, CASE WHEN (('0x' || substr(md5(id), 1, 8))::BIGINT % 10000) / 10000 < 0.6 THEN 'train' ELSE 'test' END AS part FROM docs",
         "grid_runs": f"WITH {POSTS}, {_GRID} SELECT run, dataset, num_features, classifier, params FROM named",
-        "pending_runs": f"WITH {POSTS}, {_GRID}, small AS (SELECT dataset FROM posts GROUP BY 1 HAVING count(*) FILTER (label = 0) < 14) SELECT run, dataset, num_features, classifier, params FROM named WHERE dataset NOT IN (SELECT dataset FROM small)",
+        "pending_runs": f"WITH {POSTS}, {_GRID}, small AS (SELECT dataset FROM posts GROUP BY 1 HAVING count(*) FILTER (label = 0) < (SELECT avg(n) FROM (SELECT count(*) FILTER (label = 0) AS n FROM posts GROUP BY dataset))) SELECT run, dataset, num_features, classifier, params FROM named WHERE dataset NOT IN (SELECT dataset FROM small)",
         "grid_best": f"WITH {SCORED}{_metrics('scored', 'dataset, source')}, r AS (SELECT *, dataset || '_' || source AS run, row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC, dataset || '_' || source) AS r FROM metrics) SELECT dataset, run, accuracy FROM r WHERE r = 1",
         "preview": f"WITH {NORMED} SELECT id, p FROM normed ORDER BY id LIMIT 1000",
         "posts_distinct": f"WITH {DOCS} SELECT id, min(t) AS tweet FROM (SELECT id, tweet AS t FROM docs UNION ALL SELECT id, '!' || tweet FROM docs) GROUP BY 1",
@@ -304,7 +319,7 @@ SELECT sizes.cluster, coalesce(k / min_terms::DOUBLE, 0.0) >= 2.0::DOUBLE / 3.0:
         "cluster_stats": f"WITH {CLUSTERS} SELECT (SELECT sum(n) FROM sims)::BIGINT AS posts, (SELECT count(*) FROM sims) AS clusters, (SELECT {_half_up('100.0 * count(*) / sum(n)', 2)} FROM sims) AS pct, 0::BIGINT AS reclusterings, (SELECT {_half_up('avg(similarity)', 2)} FROM sims) AS mean_sim, (SELECT {_half_up('stddev_pop(similarity)', 2)} FROM sims) AS std_sim, {_half_up('min(coalesce(shared / nullif(ca + cb, 0)::DOUBLE, 0.0))', 2)} AS min_overlap, {_half_up('max(coalesce(shared / nullif(ca + cb, 0)::DOUBLE, 0.0))', 2)} AS max_overlap FROM pairs",
         "eps_components": "WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.12), walk(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT walk.id, e.b FROM walk JOIN e ON walk.reach = e.a) SELECT id, min(reach) AS component, count(*) = 1 AS noise FROM walk GROUP BY id",
         "hashing_tf": f"WITH {NORMED} SELECT id, len(string_split(p, ' '))::DOUBLE AS n_tokens FROM normed",
-        "model_roundtrip": f"WITH {POSTS} SELECT count(*) AS n, 0.0::DOUBLE AS difference FROM posts",
+        "model_roundtrip": f"WITH {POSTS} SELECT params, count(*) AS n, 0.0::DOUBLE AS difference FROM posts, (SELECT unnest(['2.0_None', '0.5_0.5']) AS params) GROUP BY params",
         "cluster_diff": f"WITH {CLUSTERS}, member_of AS (SELECT cluster, id, id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AS in_b FROM lead) SELECT cluster, bool_and(in_b) AS equal, count(*) AS n_a, count(*) FILTER (in_b) AS n_b FROM member_of GROUP BY 1",
         "term_set_ops": f"""WITH {CLUSTERS}, anchor AS (SELECT cluster, min(id) AS anchor_id FROM lead GROUP BY 1)
 , x AS (SELECT lead.id, anchor_id FROM lead JOIN anchor USING (cluster))

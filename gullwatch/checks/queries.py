@@ -21,6 +21,7 @@ from gullwatch.checks.inputs import (
     term_clusters,
     texts,
     vectors,
+    with_blanks,
     with_day,
     worded,
 )
@@ -167,7 +168,7 @@ def signature_lines(spark, sf_dir):
 
 @query
 def keyword_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("id", F.col("prediction").alias("score"))
+    return keyword_classify(processed(texts(spark, sf_dir))).select("id", F.col("prediction").alias("score"))
 
 
 # --- dates ---------------------------------------------------------------------------
@@ -190,7 +191,10 @@ def week_of_year(spark, sf_dir):
 
 @query
 def week_buckets(spark, sf_dir):
-    return weeks.week_buckets(_after_cutoff(posts(spark, sf_dir))).select("id", "week", "week_bucket")
+    date = F.when(F.col("lang") == "es", "undated").otherwise(F.col("date"))
+    rows = with_day(texts(spark, sf_dir).withColumn("date", date))
+    found = weeks.week_buckets(rows)
+    return found.select("id", F.coalesce("week", F.lit(-1)).alias("week"), F.coalesce("week_bucket", F.lit(-1)).alias("week_bucket"))
 
 
 @query
@@ -302,13 +306,13 @@ def max_tokens(spark, sf_dir):
 
 @query
 def linear_score(spark, sf_dir):
-    rows = worded(texts(spark, sf_dir))
-    n = documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    rows = worded(with_blanks(texts(spark, sf_dir)))
+    n = with_blanks(documents(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
     tf = features.term_counts(rows)
     frequencies = features.document_frequency(tf)
     weighted = features.tfidf_terms(tf, frequencies, n)
     weights = frequencies.select("term", ((F.col("df") % 7 - 3) / 10.0).alias("w"))
-    return _rounded(features.linear_score(weighted, weights), margin=4)
+    return _rounded(features.linear_score(rows, weighted, weights), margin=4)
 
 
 @query
@@ -327,16 +331,15 @@ def token_embedding_lookup(spark, sf_dir):
 
 @query
 def doc_vector_mean(spark, sf_dir):
-    mean = features.doc_vector_mean(worded(texts(spark, sf_dir)), dictionary(spark, sf_dir))
+    mean = features.doc_vector_mean(worded(with_blanks(texts(spark, sf_dir))), dictionary(spark, sf_dir))
     values = mean.select("id", F.posexplode(vector_to_array("vector")).alias("pos", "x"))
     return _rounded(values, x=6)
 
 
 @query
 def doc_vector_concat(spark, sf_dir):
-    rows = worded(texts(spark, sf_dir))
-    longest = features.max_tokens(rows).first().max_tokens
-    wide = features.doc_vector_concat(rows, dictionary(spark, sf_dir), 64, longest)
+    rows = worded(with_blanks(texts(spark, sf_dir)))
+    wide = features.doc_vector_concat(rows, dictionary(spark, sf_dir), 64)
     weighted = F.transform("values", lambda x, i: x.cast("double") * (i % 7 + 1))
     return wide.select(
         "id",
@@ -348,9 +351,10 @@ def doc_vector_concat(spark, sf_dir):
 
 @query
 def embed_preview(spark, sf_dir):
-    mean = features.doc_vector_mean(worded(texts(spark, sf_dir)), dictionary(spark, sf_dir))
+    first = io.preview(with_blanks(texts(spark, sf_dir)), 1000)  # chosen before any text is embedded
+    mean = features.doc_vector_mean(worded(io.spread(cut_lineage(first))), dictionary(spark, sf_dir))
     total = V.array_sum(vector_to_array("vector"))
-    return io.preview(mean, 1000).select("id", F.round(total, 6).alias("total"))
+    return mean.select("id", F.round(total, 6).alias("total"))
 
 
 @query
@@ -391,7 +395,8 @@ def positives(spark, sf_dir):
 
 @query
 def predicted_positives(spark, sf_dir):
-    return _scored(spark, sf_dir).filter(F.col("prediction") > 0.0).select("id", "prediction")
+    scored = keyword_classify(processed(texts(spark, sf_dir)))
+    return scored.filter(F.col("prediction") > 0.0).select("id", "prediction")
 
 
 @query
@@ -447,14 +452,14 @@ def svm_classify(spark, sf_dir):
 
 @query
 def svm_sgd_classify(spark, sf_dir):
-    return _classified(spark, sf_dir, Spec("SVM", solver="sgd", reg=2.0, step=0.1))
+    return _classified(spark, sf_dir, Spec("SVM", reg=2.0, step=0.1))
 
 
 @query
 def mlp_train(spark, sf_dir):
     scorer = train(processed(posts(spark, sf_dir)), Spec("MLP"))
     model = scorer.model.stages[-1]
-    return spark.createDataFrame([(i, n) for i, n in enumerate(model.getLayers())], "layer int, width int")
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights.toArray())], "position int, w double")
 
 
 @query
@@ -464,14 +469,17 @@ def mlp_classify(spark, sf_dir):
 
 @query
 def model_roundtrip(spark, sf_dir):
-    """Saved and reloaded models score alike: largest margin difference is 0."""
-    path = scratch_path(spark, "model")
+    """Saved and reloaded models of both solvers score alike: largest margin difference is 0."""
     rows = processed(posts(spark, sf_dir))
-    scorer = experiments.train_model(rows, Spec("SVM", max_iter=20), path)
-    loaded = models.load_model(path, scorer.spec)
-    a = scorer.transform(rows).select("id", F.col("prediction").alias("fitted"))
-    b = loaded.transform(rows).select("id", F.col("prediction").alias("loaded"))
-    return a.join(b, "id").agg(
+    parts = []
+    for spec in (Spec("SVM"), experiments.ENSEMBLE_SVM["A"]):
+        path = scratch_path(spark, "model")
+        scorer = experiments.train_model(rows, spec, path)
+        loaded = models.load_model(path, spec)
+        a = scorer.transform(rows).select("id", F.col("prediction").alias("fitted"))
+        b = loaded.transform(rows).select("id", F.col("prediction").alias("loaded"))
+        parts.append(a.join(b, "id").select(F.lit(spec.params).alias("params"), "fitted", "loaded"))
+    return parts[0].unionByName(parts[1]).groupBy("params").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("fitted") - F.col("loaded"))).alias("difference")
     )
 
@@ -551,7 +559,9 @@ def grid_runs(spark, sf_dir):
 def pending_runs(spark, sf_dir):
     runs = experiments.grid(_datasets(spark, sf_dir))
     known = documents(spark, sf_dir).join(labels(spark, sf_dir), "id")
-    few = known.groupBy("dataset").agg(F.count_if(F.col("label") == 0).alias("n")).filter(F.col("n") < 14)
+    counted = known.groupBy("dataset").agg(F.count_if(F.col("label") == 0).alias("n"))
+    mean = counted.agg(F.avg("n").alias("mean")).scalar()
+    few = counted.filter(F.col("n") < mean)  # the runs of sources with few negatives are done
     results = runs.join(few.select("dataset"), "dataset", "left_semi").select("run")
     return sinks.pending_runs(runs, results)
 
@@ -566,9 +576,10 @@ def grid_best(spark, sf_dir):
 @query
 def train_model(spark, sf_dir):
     path = scratch_path(spark, "model")
-    experiments.train_model(processed(posts(spark, sf_dir)), Spec("SVM"), path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg((F.count(F.lit(1)) > 0).alias("saved"))
+    spec = experiments.ENSEMBLE_SVM["A"]
+    experiments.train_model(processed(posts(spark, sf_dir)), spec, path)
+    weights = models.load_model(path, spec).model.stages[-1].getScalingVec()
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights.toArray())], "feature int, w double")
 
 
 @query
@@ -576,7 +587,7 @@ def classify_saved(spark, sf_dir):
     rows = processed(posts(spark, sf_dir))
     path = scratch_path(spark, "model")
     parts = experiments.hash_split(rows)
-    scorer = experiments.train_model(parts.filter(F.col("part") == "train"), Spec("SVM"), path)
+    scorer = experiments.train_model(parts.filter(F.col("part") == "train"), experiments.BEST_PER_SOURCE["A"], path)
     test = parts.filter(F.col("part") == "test")
     return experiments.classify_saved(test, scorer.spec, path, scratch_path(spark, "quadrants"))
 
@@ -698,14 +709,14 @@ def eps_components(spark, sf_dir):
 
 @query
 def kmeans_assign(spark, sf_dir):
-    rows = clustering.with_features(processed(posts(spark, sf_dir))).select("id", "features").persist()
+    rows = cut_lineage(clustering.with_features(processed(texts(spark, sf_dir))).select("id", "features"))
     model = kmeans.fit(rows, 8)
     return model.transform(rows).select("id", "prediction")
 
 
 @query
 def kmeans_sweep(spark, sf_dir):
-    rows = cut_lineage(clustering.with_features(processed(posts(spark, sf_dir))).select("id", "features"))
+    rows = cut_lineage(clustering.with_features(processed(texts(spark, sf_dir))).select("id", "features"))
     sweep = kmeans.kmeans_sweep(rows, rows.count())
     return spark.createDataFrame(sweep.costs, "k int, sse double")
 
@@ -719,7 +730,7 @@ def _cluster_rows(result: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 @query
 def recursive_clusters(spark, sf_dir):
-    return _cluster_rows(clustering.cluster_posts(processed(posts(spark, sf_dir))))
+    return _cluster_rows(clustering.cluster_posts(processed(texts(spark, sf_dir))))
 
 
 @query
@@ -734,7 +745,7 @@ def cluster_raw(spark, sf_dir):
 
 @query
 def weekly_clusters(spark, sf_dir):
-    return _cluster_rows(clustering.weekly_clusters(_after_cutoff(processed(posts(spark, sf_dir)))))
+    return _cluster_rows(clustering.weekly_clusters(_after_cutoff(processed(texts(spark, sf_dir)))))
 
 
 @query

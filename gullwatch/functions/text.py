@@ -20,15 +20,12 @@ from gullwatch.functions.fixed import (
 
 WHITESPACE = " \t\n\x0b\f\r"
 
-#: Longest stop-word list compiled into the expression; longer lists go through
-#: :func:`gullwatch.operators.features.drop_stopwords`, which joins.
-MAX_LITERAL_STOPWORDS = 5000
-
 
 def remove_stopwords(c: Column, words: Sequence[str]) -> Column:
-    """Drop space-separated pieces that equal a stop word."""
-    if len(words) > MAX_LITERAL_STOPWORDS:
-        raise ValueError("stop-word list too long for an expression: use drop_stopwords")
+    """Drop space-separated pieces that equal a stop word.
+
+    For very long lists :func:`gullwatch.operators.features.drop_stopwords` joins instead.
+    """
     if not words:
         return c
     stop = F.array(*[F.lit(w) for w in words])
@@ -78,28 +75,39 @@ def _below_thousand(n: Column) -> Column:
     )
 
 
-def _spell_run(run: Column) -> Column:
-    significant = F.ltrim(run, F.lit("0"))
-    padded = F.lpad(significant, 12, "0")
-    groups = []
+def _spell_group(digits: Column) -> Column:
+    """Words of twelve digits, three at a time with their scale words; empty for zero."""
+    parts = []
     for i, scale in enumerate(SCALE_WORDS):
-        n = F.substring(padded, 3 * i + 1, 3).cast("int")
+        n = F.substring(digits, 3 * i + 1, 3).cast("int")
         words = _below_thousand(n)
-        groups.append(F.when(n > 0, F.concat(words, F.lit(f" {scale}")) if scale else words))
-    units = F.array(*[F.lit(w) for w in UNIT_WORDS])
-    digits = F.transform(F.split(significant, ""), lambda d: F.get(units, d.try_cast("int")))
+        parts.append(F.when(n > 0, F.concat(words, F.lit(f" {scale}")) if scale else words))
+    return F.concat_ws(" ", *parts)
+
+
+def _spell_run(run: Column) -> Column:
+    significant = F.ltrim(run, F.lit("0"))
+    count = F.ceil(F.length(significant) / 12).cast("int")
+    padded = F.lpad(significant, count * 12, F.lit("0"))
+
+    def group(i: Column) -> Column:
+        words = _spell_group(F.substring(padded, i * 12 + 1, F.lit(12)))
+        scale = F.repeat(F.lit(" trillion"), count - 1 - i)
+        return F.when(words != "", F.concat(words, scale))
+
+    groups = F.transform(F.sequence(F.lit(0), count - 1), group)
     return (
         F.when(~run.rlike("^[0-9]"), run)
         .when(significant == "", F.lit(UNIT_WORDS[0] + " "))
-        .when(F.length(significant) <= 12, F.concat(F.concat_ws(" ", *groups), F.lit(" ")))
-        .otherwise(F.concat(F.array_join(digits, " "), F.lit(" ")))
+        .otherwise(F.concat(F.array_join(groups, " "), F.lit(" ")))
     )
 
 
 def numbers_to_words(c: Column) -> Column:
     """Each run of digits becomes English words and a space, left to right.
 
-    Runs with 13 or more significant digits are spelled digit by digit.
+    Twelve digits at a time, of which all but the last twelve are counted in trillions, those
+    before them in trillions of trillions and so on: one rule for any length.
     """
     runs = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(runs, _spell_run), "")

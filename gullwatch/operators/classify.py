@@ -6,12 +6,14 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gullwatch.functions.text import keyword_score
-from gullwatch.functions.vectors import dot
+from gullwatch.functions.vectors import array_sum
 from gullwatch.operators.features import hashed_tfidf_stages
 from gullwatch.sources.posts import packed
 
@@ -27,7 +29,16 @@ class Spec:
     hidden_layers: int = 7
     width: int = 14
     max_iter: int | None = None
-    solver: str = "ml"
+    solver: str | None = None
+
+    def __post_init__(self):
+        if self.solver == "ml" and self.step is not None:
+            raise ValueError("only the step-size solver takes a step")
+
+    @property
+    def by_steps(self) -> bool:
+        """Whether the SVM is trained by gradient steps of a given size: a step asks for it."""
+        return self.classifier == "SVM" and (self.solver == "sgd" or self.step is not None)
 
     @property
     def params(self) -> str:
@@ -55,40 +66,35 @@ def mlp(num_features: int, hidden_layers: int, width: int, max_iter: int = 200):
     )
 
 
-class SgdMargin:
-    """Linear margin with weights trained by mini-batch gradient steps of a given size."""
-
-    def __init__(self, weights: list[float]):
-        self.weights = weights
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        w = F.array(*[F.lit(float(x)) for x in self.weights])
-        return df.withColumn("prediction", dot(vector_to_array("features"), w))
+def fit_by_steps(df: DataFrame, reg: float, step: float, max_iter: int = 100) -> ElementwiseProduct:
+    """Weights by gradient steps of a given size, as a stage that weights the features.
 
-
-def fit_sgd(df: DataFrame, reg: float, step: float, max_iter: int = 100) -> SgdMargin:
-    """Only solver with a step size. Spark offers it on point RDDs alone."""
+    Spark offers this solver on points of its older vector type alone; the vectors are
+    converted by a column function, and only the pairing with labels leaves the DataFrame.
+    """
     from pyspark.mllib.classification import SVMWithSGD
-    from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.regression import LabeledPoint
+    from pyspark.mllib.util import MLUtils
 
-    points = df.select("label", "features").rdd.map(
-        lambda r: LabeledPoint(float(r[0]), Vectors.fromML(r[1]))
-    )
-    model = SVMWithSGD.train(points.cache(), iterations=max_iter, step=step, regParam=reg)
-    return SgdMargin(list(model.weights.toArray()))
+    old = MLUtils.convertVectorColumnsFromML(df.select("label", "features"), "features")
+    points = old.rdd.map(lambda r: LabeledPoint(r[0], r[1])).cache()
+    try:
+        model = SVMWithSGD.train(points, iterations=max_iter, step=step, regParam=reg)
+    finally:
+        points.unpersist()
+    return ElementwiseProduct(scalingVec=Vectors.dense(model.weights.toArray()), inputCol="features", outputCol="weighted")
 
 
 class Scorer:
     """Fitted features and classifier; ``transform`` adds features and ``prediction``."""
 
-    def __init__(self, spec: Spec, model: PipelineModel, margin: SgdMargin | None = None):
-        self.spec, self.model, self.margin = spec, model, margin
+    def __init__(self, spec: Spec, model: PipelineModel):
+        self.spec, self.model = spec, model
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(df)
-        if self.margin is not None:
-            return self.margin.transform(scored)
+        if self.spec.by_steps:
+            return scored.withColumn("prediction", array_sum(vector_to_array("weighted"))).drop("weighted")
         if self.spec.classifier == "SVM":
             prediction = vector_to_array("raw")[1]
         else:
@@ -101,15 +107,9 @@ def train(df: DataFrame, spec: Spec) -> Scorer:
     """Fit features and classifier on labelled, normalised posts."""
     rows = df.filter(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
     stages = hashed_tfidf_stages(spec.num_features)
-    if spec.classifier == "SVM" and spec.solver == "sgd":
-        features = Pipeline(stages=stages).fit(rows)
-        vectors = features.transform(rows).persist()
-        margin = fit_sgd(
-            packed(vectors, vectors.count()), spec.reg, spec.step or 1.0, spec.max_iter or 100
-        )
-        vectors.unpersist()
-        return Scorer(spec, features, margin)
-    if spec.classifier == "SVM":
+    if spec.by_steps:
+        classifier, share = None, 20_000
+    elif spec.classifier == "SVM":
         classifier, share = svm(spec.reg, spec.max_iter or 100), 4_000
     elif spec.classifier == "MLP":
         classifier = mlp(spec.num_features, spec.hidden_layers, spec.width, spec.max_iter or 200)
@@ -120,7 +120,8 @@ def train(df: DataFrame, spec: Spec) -> Scorer:
     # every solver iteration reads the vectors, so they are computed once
     vectors = features.transform(rows).select("label", "features").persist()
     try:
-        fitted = classifier.fit(packed(vectors, vectors.count(), share))
+        rows = packed(vectors, vectors.count(), share)
+        fitted = classifier.fit(rows) if classifier else fit_by_steps(rows, spec.reg, spec.step or 1.0, spec.max_iter or 100)
     finally:
         vectors.unpersist()
     return Scorer(spec, PipelineModel([*features.stages, fitted]))

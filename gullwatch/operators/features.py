@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "<UNK>"
 
+#: Stop words that become part of an expression; more are joined.
+MAX_LITERAL_STOPWORDS = 5000
+#: Shares into which the rows of one token are dealt for a dictionary join.
+SALTS = 8
+
 
 def term_counts(df: DataFrame, words: str = "words", id_col: str = "id") -> DataFrame:
     """``(id, term, tf)``, empty tokens dropped.
@@ -68,18 +73,29 @@ def weighted_term_sets(df: DataFrame, words: str = "words", target: str = "terms
     return df.withColumn(target, terms)
 
 
-def drop_stopwords(df: DataFrame, stopwords: DataFrame, words: str = "words", id_col: str = "id") -> DataFrame:
-    """Stop-word removal by anti-join, for lists too long to be a literal."""
+def drop_stopwords(
+    df: DataFrame, stopwords: DataFrame, words: str = "words", id_col: str = "id", max_literal: int = MAX_LITERAL_STOPWORDS
+) -> DataFrame:
+    """Stop-word removal for lists of any length, with one result.
+
+    A list of up to ``max_literal`` words becomes part of the expression; a longer one is
+    joined.
+    """
+    listed = stopwords.select("word").distinct()
+    few = listed.take(max_literal + 1)
+    if len(few) <= max_literal:
+        stop = F.array(*[F.lit(r.word) for r in few]).cast("array<string>")
+        return df.withColumn(words, F.filter(words, lambda w: ~F.coalesce(F.array_contains(stop, w), F.lit(False))))
     tokens = df.select(id_col, F.posexplode(words).alias("pos", "word"))
-    kept = tokens.join(stopwords.select("word").distinct(), "word", "left_anti")
+    kept = tokens.join(listed, "word", "left_anti")
     # one post's tokens per group
     back = kept.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("kept"))
     empty = F.array().cast("array<string>")
     return (
-        df.drop(words)
+        df.withColumnRenamed(words, "_given")
         .join(back, id_col, "left")
-        .withColumn(words, F.coalesce(F.col("kept.word"), empty))
-        .drop("kept")
+        .withColumn(words, F.when(F.col("_given").isNotNull(), F.coalesce(F.col("kept.word"), empty)))
+        .drop("kept", "_given")
     )
 
 
@@ -95,23 +111,39 @@ def hashed_tfidf_pipeline(num_features: int = 3000, text: str = "processedTweet"
     return Pipeline(stages=hashed_tfidf_stages(num_features, text))
 
 
-def token_vectors(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Attach ``vector`` by token; unknown tokens get the ``<UNK>`` vector, one row."""
+def _unknown_vector(dictionary: DataFrame) -> list[float]:
     row = dictionary.filter(F.col("token") == UNKNOWN).select("vector").first()
     if row is None:
         raise ValueError(f"dictionary lacks {UNKNOWN}")
-    unknown = F.array(*[F.lit(x) for x in row.vector]).cast(dictionary.schema["vector"].dataType)
-    return tokens.join(dictionary, "token", "left").withColumn(
-        "vector", F.coalesce(F.col("vector"), unknown)
-    )
+    return list(row.vector)
+
+
+def token_vectors(tokens: DataFrame, dictionary: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Attach ``vector`` by token; unknown tokens get the ``<UNK>`` vector, one row.
+
+    A token of every post is one join key. The dictionary, one row a token, is repeated for
+    ``salts`` shares of each key, so such a token is spread over as many tasks.
+    """
+    kind = dictionary.schema["vector"].dataType
+    unknown = F.array(*[F.lit(x) for x in _unknown_vector(dictionary)]).cast(kind)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    rest = [c for c in tokens.columns if c != "token"]
+    own = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int") if rest else F.lit(0)
+    looked_up = tokens.withColumn("_salt", own).join(dictionary.select("*", salt), ["token", "_salt"], "left")
+    return looked_up.drop("_salt").withColumn("vector", F.coalesce(F.col("vector"), unknown))
 
 
 def doc_vector_mean(df: DataFrame, dictionary: DataFrame, words: str = "words") -> DataFrame:
-    """``(id, vector)``: mean of the token vectors, repeated tokens weighted by their count."""
+    """``(id, vector)``: mean of the token vectors, repeated tokens weighted by their count.
+
+    A post without tokens has the zero vector.
+    """
     tf = term_counts(df, words).withColumnRenamed("term", "token")
     looked_up = token_vectors(tf, dictionary)
     mean = Summarizer.mean(array_to_vector(F.col("vector")), F.col("tf").cast("double"))
-    return looked_up.groupBy("id").agg(mean.alias("vector"))
+    zero = array_to_vector(F.array(*[F.lit(0.0)] * len(_unknown_vector(dictionary))))
+    means = looked_up.groupBy("id").agg(mean.alias("vector"))
+    return df.select("id").distinct().join(means, "id", "left").select("id", F.coalesce("vector", zero).alias("vector"))
 
 
 def max_tokens(df: DataFrame, words: str = "words") -> DataFrame:
@@ -119,22 +151,22 @@ def max_tokens(df: DataFrame, words: str = "words") -> DataFrame:
     return df.agg(F.max(F.size(words)).alias("max_tokens"))
 
 
-def doc_vector_concat(
-    df: DataFrame, dictionary: DataFrame, dims: int, max_len: int, words: str = "words"
-) -> DataFrame:
-    """``(id, size, values)``: token vectors in token order, zero-padded to ``max_len`` tokens.
+def doc_vector_concat(df: DataFrame, dictionary: DataFrame, dims: int, words: str = "words") -> DataFrame:
+    """``(id, size, values)``: token vectors in token order, as wide as the longest of these posts.
 
-    Stored sparsely: positions from ``cardinality(values)`` up to ``size`` are zero.
-    Posts longer than ``max_len``, possible only after a fit on other posts, are cut there.
+    Stored sparsely: positions from ``cardinality(values)`` up to ``size`` are zero. No token
+    is ever cut; a post without tokens has no values.
     """
-    tokens = df.select("id", F.posexplode(words).alias("pos", "token")).filter(F.col("pos") < max_len)
+    tokens = df.select("id", F.posexplode(words).alias("pos", "token"))
     vectors = token_vectors(tokens, dictionary).select("id", "pos", "vector")
     # one post's vectors per group
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "vector")))
-    return vectors.groupBy("id").agg(ordered.alias("parts")).select(
+    parts = vectors.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "vector"))).alias("parts"))
+    width = F.coalesce(max_tokens(df, words).scalar(), F.lit(0))
+    empty = F.array().cast(dictionary.schema["vector"].dataType)
+    return df.select("id").distinct().join(parts, "id", "left").select(
         "id",
-        F.lit(max_len * dims).cast("long").alias("size"),
-        F.flatten(F.col("parts.vector")).alias("values"),
+        (F.greatest(width, F.lit(0)) * dims).cast("long").alias("size"),
+        F.coalesce(F.flatten(F.col("parts.vector")), empty).alias("values"),
     )
 
 
@@ -148,7 +180,11 @@ def pca(k: int = 30, features: str = "features", target: str = "projected") -> P
     return PCA(k=k, inputCol=features, outputCol=target)
 
 
-def linear_score(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(id, margin)``: dot product of each post's terms with given ``(term, w)`` weights."""
+def linear_score(posts: DataFrame, long: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(id, margin)``: dot product of each post's terms with given ``(term, w)`` weights.
+
+    Every post has a score; one without a weighted term scores 0.0.
+    """
     joined = long.join(weights.select("term", "w"), "term")
-    return joined.groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("margin"))
+    margins = joined.groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("margin"))
+    return posts.select("id").distinct().join(margins, "id", "left").select("id", F.coalesce("margin", F.lit(0.0)).alias("margin"))

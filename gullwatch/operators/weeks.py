@@ -13,7 +13,7 @@ def week_buckets(
 ) -> DataFrame:
     """Add ``week`` and dense ``week_bucket`` (from 1) in date order.
 
-    A bucket starts whenever the week number differs from that of the previous day
+    Posts without a day stay, without a week and bucket. A bucket starts whenever the week number differs from that of the previous day
     present. The year is part of the key unless ``strict``, which merges equal week
     numbers of adjacent years as the original rule does. The ordered pass runs over the
     distinct days: the calendar bounds them (3.7 million DATE values in all, a few
@@ -32,10 +32,11 @@ def week_buckets(
         .withColumn("week_bucket", F.sum(F.col("_starts").cast("int")).over(ordered))
         .select(day, "week", "week_bucket")
     )
-    return df.join(F.broadcast(days), day)
+    return df.join(F.broadcast(days), day, "left")
 
 
 def weekly_counts(buckets: DataFrame) -> DataFrame:
+    """Posts per bucket; those without a day are counted under a null bucket."""
     return buckets.groupBy("week_bucket").agg(
         F.min("week").alias("week"), F.count(F.lit(1)).alias("n_posts")
     )

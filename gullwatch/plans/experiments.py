@@ -180,7 +180,7 @@ def grid(datasets: DataFrame, extractor: str = "TF-IDF") -> DataFrame:
 def spec_of_run(classifier: str, num_features: int, params: str) -> Spec:
     a, b = params.split("_")
     if classifier == "SVM":
-        return Spec("SVM", num_features, reg=float(a), step=float(b), solver="sgd")
+        return Spec("SVM", num_features, reg=float(a), step=float(b))
     return Spec("MLP", num_features, hidden_layers=int(a), width=int(b))
 
 

@@ -8,9 +8,7 @@ from gullwatch.operators.classify import Scorer, Spec
 
 
 def save_model(scorer: Scorer, path: str) -> None:
-    """Always overwrites. Step-size models hold plain weights and are not saved."""
-    if scorer.margin is not None:
-        raise ValueError("only ml models can be saved")
+    """Always overwrites."""
     scorer.model.write().overwrite().save(path)
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gullwatch.functions.text import MAX_LITERAL_STOPWORDS
-
 POST_SCHEMA = T.StructType(
     [
         T.StructField("label", T.StringType()),
@@ -65,11 +63,8 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stopword_list(words: DataFrame) -> list[str]:
-    """Words as Python strings, refused beyond the literal limit."""
-    rows = words.select("word").distinct().take(MAX_LITERAL_STOPWORDS + 1)
-    if len(rows) > MAX_LITERAL_STOPWORDS:
-        raise ValueError("stop-word list too long for an expression: use drop_stopwords")
-    return sorted(r.word for r in rows)
+    """Words as Python strings, for short lists; ``drop_stopwords`` takes the table itself."""
+    return sorted(r.word for r in words.select("word").distinct().collect())
 
 
 def read_embeddings_text(spark: SparkSession, path: str) -> DataFrame:

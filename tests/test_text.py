@@ -27,7 +27,7 @@ NUMBERS = {
     "123456789": "one hundred twenty three million four hundred fifty six thousand seven hundred eighty nine",
     "2147483647": "two billion one hundred forty seven million four hundred eighty three thousand six hundred forty seven",
     "3000000010": "three billion ten",
-    "1234567890123": "one two three four five six seven eight nine zero one two three",
+    "1234567890123": "one trillion two hundred thirty four billion five hundred sixty seven million eight hundred ninety thousand one hundred twenty three",
     "1 12": "one twelve",
     "a1b": "aone b",
 }

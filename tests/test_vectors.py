@@ -84,7 +84,7 @@ def test_document_vectors(spark):
     )
     mean = {r.id: list(r.vector) for r in doc_vector_mean(words, dictionary).collect()}
     assert mean["1"] == pytest.approx([2.0, 1.0]) and mean["2"] == [9.0, 9.0]
-    wide = doc_vector_concat(words, dictionary, 2, 3)
+    wide = doc_vector_concat(words, dictionary, 2)
     assert {r.id: (r.size, r["values"]) for r in wide.collect()} == {"1": (6, [1.0, 0.0, 4.0, 3.0, 1.0, 0.0]), "2": (6, [9.0, 9.0])}
     full = wide.filter("id = '2'").select(padded_vector(6, F.col("values")).alias("v")).first().v
     assert list(full) == [9.0, 9.0, 0.0, 0.0, 0.0, 0.0]
