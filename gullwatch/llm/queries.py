@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, site_style, suffix_dedup, token_files
 from gullwatch.llm.common import crc32_fold, read_table
+from gullwatch.llm.oracle import oracle_sql as oracle_sql
 from gullwatch.session import scratch_path
 
 
@@ -76,7 +77,3 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
