@@ -157,6 +157,10 @@ LINES = CLUSTERS + f""", numbered AS (
 , members AS (
   SELECT cluster_no, lead.id, date, t, line, row_number() OVER (PARTITION BY cluster_no ORDER BY lead.id) AS r
   FROM lead JOIN numbered USING (cluster) JOIN lines ON lines.id = lead.id)"""
+CLEANED = f"""{LINES}
+, keyed AS (SELECT cluster_no AS block, {_sorted_tokens(_signature_clean('line'))} || chr(9) || line AS order_key FROM numbered JOIN lines ON id = exemplar_id)
+, cleaned AS (SELECT order_key, block, r + 1 AS position, concat_ws(chr(9), date, id, {_sorted_tokens('t')}, line) AS line FROM members JOIN keyed ON block = cluster_no
+  UNION ALL SELECT order_key, block, 0, '' FROM keyed)"""
 VECTORS = "vecs AS (SELECT label AS cluster, vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"
 MEANS = VECTORS + ", means AS (SELECT cluster, pos, avg(x) AS c FROM vecs GROUP BY 1, 2)" + (
     ", dist AS (SELECT v.cluster, v.id, sum((x - c) * (x - c)) AS d FROM vecs v JOIN means m"
@@ -334,9 +338,9 @@ UNION ALL SELECT cluster_no, 5, id, line FROM members""",
 SELECT cluster_no AS block, 1::BIGINT AS position, 'exemplar' AS role, date, id, t AS tweet FROM numbered JOIN lines ON id = exemplar_id
 UNION ALL SELECT cluster_no, r + 1, 'member', date, id, t FROM members""",
         "signature_lines": f"WITH {LINES} SELECT id, concat_ws(chr(9), date, id, {_sorted_tokens('t')}, line) AS line FROM lines",
-        "clean_cluster_listing": f"""WITH {LINES}
-, keyed AS (SELECT cluster_no AS block, {_sorted_tokens(_signature_clean('line'))} || chr(9) || line AS order_key FROM numbered JOIN lines ON id = exemplar_id)
-SELECT order_key, block, r + 1 AS position, concat_ws(chr(9), date, id, {_sorted_tokens('t')}, line) AS line FROM members JOIN keyed ON block = cluster_no
-UNION ALL SELECT order_key, block, 0, '' FROM keyed""",
+        "clean_cluster_listing": f"""WITH {CLEANED}
+SELECT 'tweets' AS listing_type, 'acme' AS organisation, * FROM cleaned""",
+        "clean_listing_file": f"""WITH {CLEANED}
+SELECT 'tweets' AS listing_type, 'acme' AS organisation, line FROM cleaned""",
     }
     return sql

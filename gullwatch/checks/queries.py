@@ -31,7 +31,7 @@ from gullwatch.functions.fixed import CUTOFF_DAY
 from gullwatch.operators import cohesion, components, distances, exemplars, features, kmeans, metrics, weeks
 from gullwatch.operators.classify import Spec, keyword_classify, train
 from gullwatch.plans import clustering, experiments
-from gullwatch.plans.listings import clean_listing
+from gullwatch.plans.listings import clean_listing, with_origin, write_clean_listing
 from gullwatch.session import cut_lineage, scratch_path, tune
 from gullwatch.sources import listing as listings
 from gullwatch.sources import models, sinks
@@ -420,7 +420,9 @@ _REGISTRY["keyword_classify"] = _REGISTRY.pop("keyword_classify_metrics")
 @query
 def fold_summary(spark, sf_dir):
     by_source = metrics.classification_metrics(metrics.confusion(_scored(spark, sf_dir), ["source"]))
-    return metrics.fold_summary(by_source)
+    path = scratch_path(spark, "summary")
+    sinks.write_fold_summary(metrics.fold_summary(by_source), path)
+    return sinks.read_fold_summary(spark, path)
 
 
 @query
@@ -655,7 +657,9 @@ def cluster_pair_overlap(spark, sf_dir):
 
 @query
 def cluster_stats(spark, sf_dir):
-    return cohesion.cluster_stats(cut_lineage(cohesion.common_terms(term_clusters(spark, sf_dir))))
+    path = scratch_path(spark, "stats")
+    sinks.append_cluster_stats(cohesion.cluster_stats(cut_lineage(cohesion.common_terms(term_clusters(spark, sf_dir)))), path)
+    return sinks.read_cluster_stats(spark, path)
 
 
 @query
@@ -686,7 +690,7 @@ def cluster_listing(spark, sf_dir):
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = term_clusters(spark, sf_dir)
     members = rows.select(F.col("cluster").alias("cluster_id"), "id")
-    path = scratch_path(spark, "listing")
+    path = scratch_path(spark, "listing") + "/tweetsDF_acme.csv_clusters"
     listings.write_cluster_listing(listed_clusters(rows), members, documents(spark, sf_dir), path)
     return listings.read_cluster_listing(spark, path)
 
@@ -698,8 +702,17 @@ def cluster_listing_parse(spark, sf_dir):
 
 @query
 def clean_cluster_listing(spark, sf_dir):
-    cleaned = clean_listing(_parsed(spark, sf_dir), STOPWORDS)
-    return cleaned.select("order_key", "block", F.coalesce("position", F.lit(0)).alias("position"), "line")
+    cleaned = with_origin(clean_listing(_parsed(spark, sf_dir), STOPWORDS))
+    return cleaned.select(
+        "listing_type", "organisation", "order_key", "block", F.coalesce("position", F.lit(0)).alias("position"), "line"
+    )
+
+
+@query
+def clean_listing_file(spark, sf_dir):
+    path = scratch_path(spark, "clean")
+    write_clean_listing(clean_listing(_parsed(spark, sf_dir), STOPWORDS), path)
+    return with_origin(spark.read.text(path)).select("listing_type", "organisation", F.col("value").alias("line"))
 
 
 @query

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gullwatch.operators.classify import Scorer, Spec, keyword_classify, train
-from gullwatch.operators.metrics import classification_metrics, confusion, fold_summary
+from gullwatch.operators.metrics import METRICS, classification_metrics, confusion, fold_summary
 from gullwatch.plans.clustering import cluster_posts
 from gullwatch.plans.concurrent import side_by_side
 from gullwatch.sources.models import load_model, save_model
-from gullwatch.sources.sinks import run_name, write_quadrants
+from gullwatch.sources.sinks import pending_runs, run_name, write_quadrants
 
 # Train share and number of folds.
 SPLIT_RATIO = 0.6
@@ -184,19 +184,23 @@ def spec_of_run(classifier: str, num_features: int, params: str) -> Spec:
     return Spec("MLP", num_features, hidden_layers=int(a), width=int(b))
 
 
-def run_grid(df: DataFrame, runs: DataFrame, k: int = FOLDS, by: str = "dataset") -> DataFrame:
-    """Cross-validate each pending run and return its mean test metrics, one row per run.
+def run_grid(df: DataFrame, runs: DataFrame, path: str, k: int = FOLDS, by: str = "dataset") -> DataFrame:
+    """Cross-validate each run that ``path`` holds no result of; append its mean test metrics.
 
-    The loop is over parameter settings, a fixed grid; each fit is distributed.
+    The loop is over parameter settings, a fixed grid; each fit is distributed. A run's row
+    is written when it ends, so an interrupted grid goes on where it stopped. Returns all
+    results of ``path``.
     """
-    rows = []
-    for r in runs.select("run", "dataset", "num_features", "classifier", "params").toLocalIterator():
+    spark = df.sparkSession
+    schema = "run string, " + ", ".join(f"{m} double" for m in METRICS)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # a folder to read from
+    for r in pending_runs(runs, spark.read.schema(schema).parquet(path)).collect():  # the grid's size
         posts = df.filter(F.col(by) == r.dataset)
         spec = spec_of_run(r.classifier, r.num_features, r.params)
         summary = cross_validation_summary(cross_validate(posts, model_fit(spec), k))
-        test = summary.filter(F.col("part") == _TEST)
-        rows.append(test.groupBy().pivot("metric").agg(F.first("avg")).select(F.lit(r.run).alias("run"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+        test = summary.filter(F.col("part") == _TEST).groupBy().pivot("metric", METRICS).agg(F.first("avg"))
+        test.select(F.lit(r.run).alias("run"), *METRICS).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def best_run(results: DataFrame, metric: str = "f_measure", by: Sequence[str] = ()) -> DataFrame:

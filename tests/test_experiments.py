@@ -64,15 +64,16 @@ def test_ensemble_scores_every_post_once(labelled):
     assert {r.period for r in E.ensemble_metrics(scored).collect()} == {"d1", "d2"}
 
 
-def test_grid(spark, labelled):
+def test_grid(spark, labelled, tmp_path):
     runs = E.grid(spark.createDataFrame([("A",), ("B",)], "dataset string"))
     assert runs.count() == 2 * 11 * (9 * 6 + 8 * 7)
     assert runs.select("run").distinct().count() == runs.count()
     names = {r.run for r in runs.filter("num_features = 30").collect()}
     assert "TF-IDF_30_SVM_0.01_0.1_A" in names and "TF-IDF_30_MLP_2_5_B" in names
     few = runs.filter("run = 'TF-IDF_30_SVM_0.1_1.0_A'")
-    results = E.run_grid(labelled.withColumn("dataset", F.lit("A")), few, k=2)
-    row = results.first()
+    posts, path = labelled.withColumn("dataset", F.lit("A")), str(tmp_path / "results")
+    row = E.run_grid(posts, few, path, k=2).first()
+    assert E.run_grid(posts, few, path, k=2).collect() == [row]  # nothing pending the second time
     assert row.run == "TF-IDF_30_SVM_0.1_1.0_A" and 0.0 <= row.f_measure <= 1.0
     best = E.best_run(spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.1)], "run string, f_measure double")).first()
     assert (best.run, best.f_measure) == ("a", 0.5)
