@@ -157,12 +157,15 @@ def redact(docs: DataFrame, ledger: str, mask: str = "[SECRET]", rules: tuple[Ru
     clean = F.aggregate("__redact_spans", state, step, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.length("text"))))
     joined = docs.withColumn("__redact_hash", blob(F.col("text"))).join(found, F.col("__redact_hash") == F.col("__redact_blob"), "left")
     text = F.when(F.col("__redact_spans").isNull(), F.col("text")).otherwise(clean)
+    # behind a generator the masked text is made once, for itself and for its length
+    made = joined.select("*", F.explode(F.array(text)).alias("__redact_text"))
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(text.alias(name))
+            columns.append(F.col("__redact_text").alias(name))
         elif name == "n_chars":
-            columns.append(F.when(F.col("__redact_spans").isNull(), F.col(name)).otherwise(F.length(text)).cast(docs.schema[name].dataType).alias(name))
+            count = F.when(F.col("__redact_spans").isNull(), F.col(name)).otherwise(F.length("__redact_text"))
+            columns.append(count.cast(docs.schema[name].dataType).alias(name))
         else:
             columns.append(F.col(f"`{name}`"))
-    return joined.select(*columns)
+    return made.select(*columns)
