@@ -38,6 +38,16 @@ def crc32_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string")) % F.lit(folds)
 
 
+def bounded_sample(df: DataFrame, turn: Column, rows: int, most: int) -> DataFrame:
+    """At most ``most`` of ``rows`` rows, drawn by the hash ``turn``.
+
+    About twice as many pass the filter, whatever the number of partitions, so no task
+    gathers more than it needs.
+    """
+    share = min(1.0, 2 * most / max(rows, 1))
+    return df.where(F.pmod(turn, F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))).limit(most)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the offset of each row; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,7 @@ the token count of its shard before it, the dictionary's hash, and the offset in
 the documents, token counts, frame offsets) beside the frames. The index columns are read
 without the frames, and one document needs its own frame only. Blocks lie in ascending
 doc_id order; a shard is one range of ids. The dictionary is trained on the serialized ids
-of ``SAMPLE`` documents at most, those with the smallest hashes of their ids.
+of ``SAMPLE`` documents at most, drawn by hashes of their ids.
 
 Defined results: null and empty texts hold the end id only; a null doc_id comes first;
 documents with one id stand in the order of their text hash; an empty table gives empty
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm.common import pieces
+from gullwatch.llm.common import bounded_sample, pieces
 from gullwatch.llm.tokens import encoded
 from gullwatch.session import scratch_path
 
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "tie").limit(SAMPLE)
+    chosen = bounded_sample(own, F.xxhash64("doc_id"), docs.count(), SAMPLE)
     samples = [bytes(r.frame) for r in chosen.mapInArrow(lambda b: _serialized(b, tokenizer, end_id), _FRAMES).select("frame").collect()]
     dictionary = train_dictionary(samples)
     name = dictionary_hash(dictionary)
