@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         "reps",
     )
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    centres = exploded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
+    # written down, so that the join below has plain shuffles on both sides and hot buckets are split
+    centres = kept_table(exploded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre"), "centres")
     buckets = kept_table(exploded.join(centres, "bucket").select("bucket", "band", "rep", "centre"), "buckets")
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
