@@ -12,9 +12,10 @@ common prefixes of neighbours in both orders say which strings are equal: at eac
 between string start and anchor, strings are equal whose left and right parts fall in the
 same classes. All but the first of each class are repeats, and the bytes they cover go.
 
-Texts are read three times: for anchors; for the parts around repeated ones; for what is
-left of texts with repeats. The last two read only rows that may be needed, by a bitmap of
-fixed size over their ids, before any shuffle; the exact join follows. An anchor with more
+Texts are read for anchors, once to count and once to place them; for the parts around
+repeated ones; and for what is left of texts with repeats. The last two read only rows that
+may be needed, by a bitmap of fixed size over their ids, before any shuffle; the exact join
+follows. An anchor with more
 than ``HOT`` occurrences would gather that many suffixes in one task: its strings are dealt
 out one by one by their own hash instead, each task passing on only the first of equal ones.
 
@@ -172,15 +173,28 @@ def deep_shallow_order(group: np.ndarray, table: np.ndarray, sizes: np.ndarray,
         fresh[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (before[1:] != before[:-1])
         tied = _names(tied, open_, fresh)
     starts = np.flatnonzero(np.diff(tied, prepend=-1))
-    for a, b in zip(starts, np.append(starts[1:], len(order))):
-        if b - a > 1:
-            own = order[a:b]
-            strings = [table[i, : sizes[i]].tobytes() for i in own]
-            if b - a == 2:  # a trie of two leaves is one comparison
-                if strings[0] > strings[1]:
-                    order[a], order[a + 1] = own[1], own[0]
-            else:
-                order[a:b] = own[blind_trie_order(strings)]
+    ends = np.append(starts[1:], len(order))
+    # a trie of one leaf, or of two leaves, is one comparison for each string: all such at once
+    several = np.flatnonzero(ends - starts > 1)
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(starts[several], ends[several])]) if len(several) else several
+    lead = order[np.repeat(starts[several], (ends - starts)[several])]
+    unlike = np.zeros(len(rows), bool)
+    for k in range(0, len(rows), 65_536):
+        x, y = order[rows[k : k + 65_536]], lead[k : k + 65_536]
+        unlike[k : k + 65_536] = (table[x] != table[y]).any(1) | (sizes[x] != sizes[y])
+    group = np.repeat(several, (ends - starts)[several])
+    several = np.unique(group[unlike])
+    pairs = several[(ends - starts)[several] == 2]
+    if len(pairs):
+        x, y = order[starts[pairs]], order[starts[pairs] + 1]
+        apart = table[x] != table[y]
+        at = apart.argmax(1)
+        swap = np.where(apart.any(1), table[x, at] > table[y, at], sizes[x] > sizes[y])
+        first = starts[pairs][swap]
+        order[first], order[first + 1] = y[swap], x[swap]
+    for g in several[(ends - starts)[several] > 2]:
+        own = order[starts[g] : ends[g]]
+        order[starts[g] : ends[g]] = own[blind_trie_order([table[i, : sizes[i]].tobytes() for i in own])]
     return order
 
 
@@ -381,8 +395,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     twice = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
     own = own.select("doc_id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("tie"), "text")  # texts of one id are told apart
-    found = kept_table(own.mapInArrow(_anchor_batches, _ROW + "h long, place long"), "anchors")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    found = own.mapInArrow(_anchor_batches, _ROW + "h long, place long")  # made twice: less than writing them down
+    # written down, so that the join below has plain shuffles on both sides and hot anchors are split
+    repeated = kept_table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "repeated")
     wanted = kept_table(found.join(repeated, "h").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("h", "place", "hot")).alias("wanted")), "wanted")
     names = ["doc_id", "tie"]
     ask = wanted.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "wanted")
