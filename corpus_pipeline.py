@@ -17,6 +17,8 @@ ORACLE_SQL: str | None = None
 
 #: Least share of words in the predicted language.
 LEAST_SHARE = 0.3
+#: Percent of shared five-word shingles from which documents are near duplicates.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group stays."""
     settings(spark)
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near duplicates by b-bit MinHash over shingles of words.
 
 One pass over the texts gives each document the number and key of its shingle set, the low
-``BITS`` bits of ``HASHES`` minima packed into four longs, and ``BANDS`` band values of
-``ROWS`` full minima. Documents with equal sets collapse to their smallest id. Inside a
+``BITS`` bits of ``HASHES`` minima packed into four longs, and band values of ``ROWS`` full
+minima, so many that the threshold decides (``band_count``). Documents with equal sets collapse to their smallest id. Inside a
 band bucket every member is a candidate with the bucket's smallest member only; a candidate
 is kept when its collision-corrected estimate, by bit counts of the packed signatures, does
 not lie surely below the threshold, and confirmed on the full shingle sets. Confirmed links
@@ -19,6 +19,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from gullwatch.llm.common import LOWER, NOT_SPACE, gram_hashes, kept_table, long
 SHINGLE = 5
 #: Percent of the union that two sets must share to be linked.
 PERCENT = 85
-HASHES, BITS, BANDS, ROWS = 128, 2, 20, 4
-#: Five standard errors of the estimate below the threshold: no link of PERCENT is lost.
-SLACK = 0.19
+HASHES, BITS, ROWS = 128, 2, 4
+#: Chance that a pair right at the threshold shares no band: that of 20 bands at 0.85.
+MISS = (1 - 0.85**ROWS) ** 20
 #: Signatures compared with as many others in one step.
 BLOCK = 512
 
@@ -44,6 +45,21 @@ _ADDENDS = _rng.randint(0, 1 << 32, HASHES, dtype=np.int64).astype(np.uint32)
 _SETS = "doc_id long, n_shingles long, set_key long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
+def band_count(percent: int) -> int:
+    """Bands that a pair of ``percent`` misses with a chance of at most ``MISS``."""
+    n = max(1, math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** ROWS)) - 1e-9))
+    if n * ROWS > HASHES:
+        raise ValueError(f"{percent} percent needs {n} bands, more than {HASHES} hashes hold")
+    return n
+
+
+def slack(percent: int) -> float:
+    """Five standard errors of the estimate at the threshold, rounded up: no link is lost."""
+    chance = 2.0**-BITS
+    agree = percent / 100 * (1 - chance) + chance
+    return math.ceil(500 * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)) / 100
+
+
 def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[pa.Array, list[np.ndarray]]:
     """Ids and the sorted distinct shingle hashes of each row."""
     data, at = utf8(batch.column(batch.schema.get_field_index("text")))
@@ -83,9 +99,9 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(planes, axis=1)).view(np.int64)
 
 
-def band_values(minima: np.ndarray) -> np.ndarray:
-    own = minima[:, : BANDS * ROWS].astype(np.uint64).reshape(len(minima), BANDS, ROWS)
-    total = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), own.shape[:2]).copy()
+def band_values(minima: np.ndarray, bands: int) -> np.ndarray:
+    own = minima[:, : bands * ROWS].astype(np.uint64).reshape(len(minima), bands, ROWS)
+    total = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), own.shape[:2]).copy()
     for r in range(ROWS):
         total = mix(total ^ own[:, :, r])
     return total.view(np.int64)
@@ -103,26 +119,27 @@ def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (share - chance) / (1 - chance)
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         ids, sets = shingle_sets(batch, shingle)
         sizes = np.array([len(s) for s in sets], np.int64)
         keys = np.zeros(len(sets), np.int64)
-        longs, bands = np.zeros((len(sets), 4), np.int64), np.zeros((len(sets), BANDS), np.int64)
+        longs, bands = np.zeros((len(sets), 4), np.int64), np.zeros((len(sets), n_bands), np.int64)
         full = np.flatnonzero(sizes)
         if len(full):
             minima = signatures([sets[i] for i in full])
-            longs[full], bands[full] = packed(minima), band_values(minima)
+            longs[full], bands[full] = packed(minima), band_values(minima, n_bands)
             for i in full:
                 keys[i] = mix((mix(sets[i]).sum(dtype=np.uint64) ^ np.uint64(sizes[i])).reshape(1)).view(np.int64)[0]
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes), pa.array(keys), *(pa.array(longs[:, k].copy()) for k in range(4)), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))],
+            [ids, pa.array(sizes), pa.array(keys), *(pa.array(longs[:, k].copy()) for k in range(4)), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), n_bands).cast(pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"],
         )
 
 
-def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _set_batches(batches, shingle), _SETS)
+def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    bands = band_count(percent)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _set_batches(batches, shingle, bands), _SETS)
 
 
 def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -218,7 +235,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], least: float, percent: int
         column = lambda n: table.column(n).to_numpy()
         side, rep, component, sizes, band = (column(n) for n in ("side", "rep", "component", "n_shingles", "band"))
         longs = np.stack([column(f"s{k}") for k in range(4)], 1)
-        bands = np.stack([column(f"b{k}") for k in range(BANDS)], 1)
+        bands = np.stack([column(f"b{k}") for k in range(band_count(percent))], 1)
         lows = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("low")]
         cuts = [0, *_changes(table), len(rep)]
         found = [
@@ -270,15 +287,15 @@ def open_pairs(buckets: DataFrame, reps: DataFrame, hashes: DataFrame, component
             )
         ).alias("at"),
     ).select("bucket", "band", "rep", "component", "at.x", "at.y", "at.side")
-    known = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3", *(F.col("bands")[k].alias(f"b{k}") for k in range(BANDS))).join(hashes.select(F.col("id").alias("rep"), "low"), "rep")
+    known = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3", *(F.col("bands")[k].alias(f"b{k}") for k in range(band_count(percent)))).join(hashes.select(F.col("id").alias("rep"), "low"), "rep")
     dealt = placed.join(known, "rep").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return dealt.mapInArrow(lambda batches: _block_batches(batches, least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    least = percent / 100 - SLACK
-    sets = kept_table(document_sets(docs, shingle), "sets")
+    least = percent / 100 - slack(percent)
+    sets = kept_table(document_sets(docs, shingle, percent), "sets")
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = kept_table(
         full.groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "s0", "s1", "s2", "s3", "bands")).alias("first")).select("set_key", "n_shingles", F.col("first.doc_id").alias("rep"), "first.s0", "first.s1", "first.s2", "first.s3", "first.bands"),

@@ -1,7 +1,9 @@
+import random
+
 import corpus_pipeline
 from helpers import SCHEMA, rows_of
 
-from gullwatch.llm import queries
+from gullwatch.llm import minhash, queries
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -35,3 +37,29 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def shared(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_links_from_four_fifths(spark):
+    rng, texts, near = random.Random(8), [], []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(rng.randint(200, 400))]
+        other, gone = list(words), rng.sample(range(5, len(words) - 5), 20)
+        for i in gone:
+            if shared(" ".join(words), " ".join(other)) < 0.845:
+                break
+            other[i] = f"y{k}x{i}"
+        texts += [" ".join(words), " ".join(other)]
+        near.append(shared(*texts[-2:]))
+    assert sum(0.81 <= x < 0.845 for x in near) > 40
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows_of(texts), SCHEMA), "").collect()}
+    assert kept == {2 * k for k in range(60)} | {2 * k + 1 for k, x in enumerate(near) if x < 0.8}
+
+
+def test_bands_and_slack_follow_the_threshold():
+    assert (minhash.band_count(85), minhash.slack(85)) == (20, 0.19)
+    assert (1 - 0.8**minhash.ROWS) ** minhash.band_count(80) <= minhash.MISS and minhash.slack(80) == 0.22
