@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gullwatch.llm.common import LOWER, WORD_BYTES, gram_hashes, kept_table, long_column, pieces, range_hashes, utf8, word_bounds
 
@@ -148,16 +149,20 @@ def scan_joined(taken: DataFrame, windows: DataFrame) -> DataFrame:
 
     Equal windows are joined once for all their items; the items come back by document.
     """
-    sizes = [r.n for r in windows.select("n").distinct().collect()]  # at most the window length
-    found = taken.mapInArrow(lambda batches: _document_windows(batches, sizes), "doc_id long, row_key long, j int, hash long, n int, words binary, a int, b int")
-    hits = found.join(windows, ["hash", "n", "words"])
-    per_doc = hits.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("j", "n", "a", "b")).alias("hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    per_doc = _joined_hits(taken, windows).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("j", "n", "a", "b")).alias("hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     counts = taken.mapInArrow(lambda batches: _document_words(batches), "doc_id long, row_key long, n_words long")
     per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "hit", "items")
     merged = counts.join(per_doc, counts["doc_id"].eqNullSafe(per_doc["_doc"]) & (counts["row_key"] == per_doc["_key"]), "left").select("doc_id", "n_words", "hit", "items")
     return merged.mapInArrow(_merge_hits, _SCAN)
 
 
+def _joined_hits(taken: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each window of a document (by id and row key) that is a benchmark window, once for every item."""
+    sizes = [r.n for r in windows.select("n").distinct().collect()]  # at most the window length
+    found = taken.mapInArrow(lambda batches: _document_windows(batches, sizes), "doc_id long, row_key long, j int, hash long, n int, words binary, a int, b int")
+    return found.join(windows, ["hash", "n", "words"])
+
+
 def _row_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return range_hashes(data, at[:-1], at[1:]).view(np.int64)
 
@@ -179,6 +184,13 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> It
                 )
 
 
+def _keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they are, and their row key."""
+    for batch in batches:
+        keys = [_row_key(*utf8(piece.column(piece.schema.get_field_index("text")))) for piece in pieces(iter([batch]), "text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=[*batch.schema.names, "_row_key"])
+
+
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         raw, at = utf8(batch.column(batch.schema.get_field_index("text")))
@@ -237,9 +249,15 @@ def _clean_batches(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.Reco
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Drop documents with a hit; the others keep every column. Without a shuffle while the windows are bounded."""
+    """Drop documents with a hit; the others keep every column. Without a shuffle while the windows are bounded.
+
+    Beyond that rows are told apart by id and text, so rows of one id are judged one by one too.
+    """
     windows, table = benchmark_windows(docs.sparkSession, benchmark, window, max_windows)
     if table is not None:
         return docs.mapInArrow(lambda batches: _clean_batches(batches, table), docs.schema)
-    hit = scan_joined(docs.select("doc_id", "text"), windows).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hit = _joined_hits(taken, windows).select(F.col("doc_id").alias("_hit"), F.col("row_key").alias("_hit_key")).distinct()
+    keyed = docs.mapInArrow(_keyed_batches, StructType([*docs.schema, StructField("_row_key", LongType())]))
+    clean = keyed.join(hit, keyed["doc_id"].cast("long").eqNullSafe(hit["_hit"]) & (keyed["_row_key"] == hit["_hit_key"]), "left_anti")
+    return clean.drop("_row_key")

@@ -59,3 +59,14 @@ def test_odd_rows(spark):
     assert decontaminate.report(no_documents(spark), benchmark).count() == 0
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
     assert {r.n_hit for r in decontaminate.report(docs, benchmark.limit(0)).collect()} == {0}
+
+
+def test_rows_of_one_id_are_judged_one_by_one_either_way(spark):
+    item = "benchmark item words come here and they are ten words long"
+    rows = [(None, f"a {item} b"), (None, "clean one"), (None, None), (7, f"c {item}"), (7, "clean two"), (7, "clean two"), (8, ""), (8, item), (9, "clean one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA).repartition(3)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = sorted((str(i), str(t)) for i, t in rows if item not in (t or ""))
+    for most in (decontaminate.MAX_WINDOWS, 0):
+        kept = decontaminate.decontaminate(docs, benchmark, max_windows=most)
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want and kept.columns == docs.columns
