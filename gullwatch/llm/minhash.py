@@ -326,7 +326,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The first document of each component, with every column of ``docs``; null ids stay.
 
-    Of repeated rows with one id the first by text stays.
+    Of repeated rows with one id the first by text stays, a null text last.
     """
-    lost = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    rows = near_duplicates(docs, shingle, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(~F.col("kept")).alias("lost"))
+    marked = kept_table(rows.where("lost OR n > 1").select(F.col("doc_id").alias("_marked"), "lost"), "marked")
+    own = docs["doc_id"].cast("long")
+    single = docs.join(marked.select("_marked"), own == marked["_marked"], "left_anti")
+    repeated = marked.where("NOT lost").select("_marked")
+    if repeated.isEmpty():
+        return single
+    again = docs.join(repeated, own == repeated["_marked"], "left_semi")
+    tie = F.xxhash64(*(F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema))
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.col("text").isNull(), F.col("text"), tie))
+    # by a key of its own, so that the join's hot ids are split and added up before they meet
+    once = again.groupBy(F.struct("doc_id").alias("_id")).agg(first.alias("_first")).select("_first.*")
+    return single.union(once)

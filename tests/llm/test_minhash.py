@@ -69,3 +69,12 @@ def test_deduplicate_keeps_columns_and_first(spark):
     copies = spark.createDataFrame(rows_of(["one two three four five six"] * 5 + ["other"]), SCHEMA)
     assert sorted(r.doc_id for r in minhash.deduplicate(copies).collect()) == [0, 5]
     assert minhash.near_duplicates(no_documents(spark)).count() == 0
+
+
+def test_deduplicate_keeps_one_row_of_an_id(spark):
+    text, near = "one two three four five six seven", " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text)] * 6 + [(2, text)] * 3 + [(3, near), (3, near + " tail"), (3, None), (None, "x y"), (None, "x y"), (4, "alone"), (5, near)] + [(6, "")] * 2
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", None) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(4)
+    kept = minhash.deduplicate(docs)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "x y"), (0, "x y"), (1, text), (3, near), (4, "alone"), (6, "")] and kept.columns == docs.columns
+    assert minhash.deduplicate(docs.where("doc_id IN (1, 6)")).count() == 2
