@@ -17,7 +17,9 @@ repeated ones; and for what is left of texts with repeats. The last two read onl
 may be needed, by a bitmap of fixed size over their ids, before any shuffle; the exact join
 follows. An anchor with more
 than ``HOT`` occurrences would gather that many suffixes in one task: its strings are dealt
-out one by one by their own hash instead, each task passing on only the first of equal ones.
+out one by one by their own hash instead. Each task passes on only the first of equal ones
+to be compared (up to ``_HOT_SEEN`` strings are told apart at a time); the others are repeats
+already and go on as runs, dealt by their own places.
 
 Defined results: null text is empty; texts below ``length`` bytes lose nothing; order is
 (doc_id, text hash, start), null ids first; rows with one id and one text count as one text,
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -268,28 +271,44 @@ def _gathered(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int
 
 
 def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes around each wanted anchor (``wanted``: its hash, place and whether it is hot), or hot strings one by one."""
+    """Bytes around each wanted anchor (``wanted``: its hash, place and whether it is hot), or hot strings one by one.
+
+    Rows come in order, repeated ones next to each other. A hot string seen before in this
+    task is a repeat already: a run of such goes on as ``again``, without bytes and dealt by
+    its own place, so that a string meets only the first of each task.
+    """
     seen: set[bytes] = set()
+    before: tuple | None = None
     for batch in pieces(batches, "text"):
-        docs, ties = _col(batch, "doc_id").to_pylist(), _numbers(batch, "tie")
+        docs, ties = _col(batch, "doc_id").to_pylist(), _numbers(batch, "tie").tolist()
         rows: list[list] = [[] for _ in range(6)]
-        for i, (raw, wanted) in enumerate(zip(_col(batch, "text").to_pylist(), _col(batch, "wanted").to_pylist())):
+        for doc, tie, raw, wanted in zip(docs, ties, _col(batch, "text").to_pylist(), _col(batch, "wanted").to_pylist()):
+            if (doc, tie) == before:  # one id and one text: one text
+                continue
+            before = doc, tie
             raw = raw.encode()
-            for w in wanted:
+            for w in sorted(wanted, key=lambda w: w["place"]):
                 first, count, lead = w["place"] >> 16, (w["place"] >> 8) & 255, w["place"] & 255
                 if not w["hot"]:
-                    found = [(w["h"], first, count, lead, raw[first : first + count - 1 + LENGTH], False)]
+                    found = [(w["h"], _packed(first, count, lead), raw[first : first + count - 1 + LENGTH], False)]
                 else:
-                    found = []
-                    for k in range(count):
+                    found, begin = [], None
+                    for k in range(count + 1):
                         own = raw[first + k : first + k + LENGTH]
-                        digest = hashlib.blake2b(own, digest_size=16).digest()
-                        again = digest in seen  # rows come in order, so an equal one before is earlier
-                        if not again and len(seen) < _HOT_SEEN:
+                        digest = hashlib.blake2b(own, digest_size=16).digest() if k < count else b""
+                        if digest in seen:
+                            begin = k if begin is None else begin
+                            continue
+                        if begin is not None:
+                            found.append((hash((doc or 0, tie, first + begin)), _packed(first + begin, k - begin, 0), b"", True))
+                            begin = None
+                        if k < count:
+                            if len(seen) >= _HOT_SEEN:  # a string is passed on once more after that
+                                seen.clear()
                             seen.add(digest)
-                        found.append((int.from_bytes(digest[:8], "little", signed=True) | 1 << 62, first + k, 1, max(lead - k, 0), b"" if again else own, again))
+                            found.append((int.from_bytes(digest[:8], "little", signed=True) | 1 << 62, _packed(first + k, 1, max(lead - k, 0)), own, False))
                 for x in found:
-                    for column, value in zip(rows, (docs[i], ties[i], *x[:1], _packed(x[1], x[2], x[3]), x[4], x[5])):
+                    for column, value in zip(rows, (doc, tie, *x)):
                         column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "tie", "h", "place", "bytes", "again"])
@@ -300,13 +319,22 @@ def _packed(first: int, count: int, lead: int) -> int:
 
 
 def _repeat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated runs of bytes (a, b) from the parts of this partition's anchors."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    """Repeated runs of bytes (a, b) from the parts of this partition's anchors; those known as repeats pass through."""
+    held = []
+    for batch in batches:
+        again = _col(batch, "again")
+        if again.true_count:
+            known, batch = batch.filter(again), batch.filter(pc.invert(again))
+            place = _numbers(known, "place")
+            a = place >> 16
+            yield pa.RecordBatch.from_arrays([_col(known, "doc_id"), _col(known, "tie"), pa.array(a), pa.array(a + ((place >> 8) & 255) - 1 + LENGTH)], names=["doc_id", "tie", "a", "b"])
+        held.append(batch)
+    if not any(batch.num_rows for batch in held):
         return
+    table = pa.Table.from_batches(held)
     known = table.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     doc = table.column("doc_id").fill_null(0).to_numpy()
-    tie, key, place, again = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tie", "h", "place", "again"))
+    tie, key, place = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tie", "h", "place"))
     first, counts, lead = place >> 16, (place >> 8) & 255, place & 255
     text, at = utf8(table.column("bytes"))
     order = np.lexsort((first, tie, doc, known))
@@ -314,12 +342,10 @@ def _repeat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (first, tie, doc, known)], axis=0)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    once = order[fresh]  # repeated rows of one id and text are one
-    use = np.sort(once[~again[once]])
+    use = np.sort(order[fresh])  # repeated rows of one id and text are one
     flat, bounds = _slices(text, at, use)
-    parts, strings = repeats(key[use], rank[use], counts[use], lead[use], flat, bounds)
-    part = np.concatenate([use[parts], once[again[once]]])
-    start = np.concatenate([strings, np.zeros(int(again[once].sum()), np.int64)])
+    parts, start = repeats(key[use], rank[use], counts[use], lead[use], flat, bounds)
+    part = use[parts]
     if not len(part):
         return
     order = np.lexsort((start, part))
@@ -398,7 +424,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = own.mapInArrow(_anchor_batches, _ROW + "h long, place long")  # made twice: less than writing them down
     # written down, so that the join below has plain shuffles on both sides and hot anchors are split
     repeated = kept_table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "repeated")
-    wanted = kept_table(found.join(repeated, "h").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("h", "place", "hot")).alias("wanted")), "wanted")
+    gathered = F.collect_set if twice else F.collect_list  # repeated rows have the same anchors
+    wanted = kept_table(found.join(repeated, "h").groupBy("doc_id", "tie").agg(gathered(F.struct("h", "place", "hot")).alias("wanted")), "wanted")
     names = ["doc_id", "tie"]
     ask = wanted.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "wanted")
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import no_documents, odd_documents
 
@@ -65,3 +66,39 @@ def test_odd_rows(spark):
     long_ = next(r for r in rows if r.doc_id == 7)
     assert (long_.n_bytes, long_.n_removed, long_.n_spans) == (50_000, 49_999, 1)
     assert suffix_dedup.remove_repeats(no_documents(spark)).count() == 0
+
+
+def hot_parts(rows):
+    """Parts of one task whose rows (id, text) have hot anchors only."""
+    texts = pa.array([t for _, t in rows])
+    found = [[] for _ in rows]
+    data, at = suffix_dedup.utf8(texts)
+    for row, h, first, count, lead in zip(*(x.tolist() for x in suffix_dedup.anchors(data, at))):
+        found[row].insert(0, {"h": h, "place": suffix_dedup._packed(first, count, lead), "hot": True})
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int64()), ("hot", pa.bool_())]))
+    names = ["doc_id", "tie", "text", "wanted"]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([0] * len(rows)), texts, pa.array(found, kind)], names=names)
+    return pa.Table.from_batches(suffix_dedup._part_batches(iter([batch]))).to_pylist()
+
+
+def test_a_hot_string_reaches_its_partition_once_a_task(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    parts = hot_parts([(k, text) for k in range(200)])
+    strings = [p["h"] for p in parts if p["bytes"]]
+    assert len(strings) == len(set(strings)) == 151
+    assert max(sum(p["h"] == h for p in parts) for h in {p["h"] for p in parts}) == 1
+    assert sum((p["place"] >> 8) & 255 for p in parts if p["again"]) == 199 * 151
+    monkeypatch.setattr(suffix_dedup, "_HOT_SEEN", 151)  # room for one text: still once
+    assert len([p for p in hot_parts([(k, text) for k in range(200)]) if p["bytes"]]) == 151
+
+
+def test_repeated_rows_and_hot_repeats_inside_a_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    rng = random.Random(6)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(220))
+    rows = [(k, part + f" {k} " + part + "tail") for k in range(20)]
+    want = brute(rows)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([*rows, *rows[:3], *rows[:3]], "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 26
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
