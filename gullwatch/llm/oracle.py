@@ -68,10 +68,46 @@ NEAR_DUPLICATES = f"""WITH RECURSIVE {_words("documents", "doc_id", _TOKEN, 5)}
 , components AS (SELECT doc_id, min(reach) AS component_id FROM walk GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM components LEFT JOIN sizes USING (doc_id)"""
 
+# label, notice, key phrase, base
+_NOTICES = [
+    ("cc-by", "licensed under cc by", "cc by", True),
+    ("gpl", "this work is licensed under the gnu general public license version", "general public license", True),
+    ("reserved", "all rights reserved", "all rights reserved", True),
+    ("agpl", "under the gnu affero general public license version 3", "affero general public license", False),
+    ("apache", "licensed under the apache license version 2 0", "apache license", False),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", False),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", False),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd", False),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", False),
+    ("lgpl", "under the gnu lesser general public license version", "lesser general public license", False),
+    ("mit", "released under the mit license", "mit license", False),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge", False),
+    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license", False),
+]
+
+LICENSES = f"""WITH notices(id, label, notice, phrase, base) AS (VALUES {", ".join(f"({i}, '{a}', '{b}', '{c}', {d})" for i, (a, b, c, d) in enumerate(_NOTICES))})
+, docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents)
+, split AS (SELECT id, label, base, string_split(phrase, ' ') AS p, string_split(notice, ' ') AS n,
+    len(string_split(split_part(' ' || notice || ' ', ' ' || phrase || ' ', 1), ' ')) - 1 AS lead FROM notices)
+, vocabulary AS (SELECT DISTINCT unnest(n) AS word FROM split)
+, held AS (SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(w)) AS word FROM docs) JOIN vocabulary USING (word) GROUP BY 1)
+, weights AS (SELECT word, CAST(floor(1000 * ln((2 * (SELECT count(*) FROM documents) + 2) / (2 * coalesce(df, 0) + 1))) AS BIGINT) AS weight FROM vocabulary LEFT JOIN held USING (word))
+, toks AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs)
+, places AS (SELECT doc_id, w, id, label, base, lead, n, pos FROM toks JOIN split ON word = p[1] WHERE w[pos:pos + len(p) - 1] = p)
+, around AS (SELECT doc_id, id, pos, unnest(n) AS word, generate_subscripts(n, 1) AS k, w, lead FROM places)
+, scored AS (SELECT doc_id, id, pos, sum(CASE WHEN pos - lead + k - 1 >= 1 AND w[pos - lead + k - 1] = word THEN weight ELSE 0 END) AS matched, sum(weight) AS total
+    FROM around JOIN weights USING (word) GROUP BY 1, 2, 3)
+, found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos - 1) FILTER (base) AS first_word, max(pos - 1) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(CAST(matched AS DOUBLE) / CAST(total AS DOUBLE)) AS score FROM places JOIN scored USING (doc_id, id, pos) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN found USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_benchmark_decontamination": DECONTAMINATION,
         "op8_secret_scan": SECRETS,
         "op10_minhash_near_duplicates": NEAR_DUPLICATES,
+        "op13_license_scan": LICENSES,
     }

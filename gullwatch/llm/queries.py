@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, fingerprints, language, minhash, mixing, packing, secrets, site_style, suffix_dedup, token_files
+from gullwatch.llm import decontaminate, fingerprints, language, licenses, minhash, mixing, packing, secrets, site_style, suffix_dedup, token_files
 from gullwatch.llm.common import crc32_fold, read_table
 from gullwatch.llm.oracle import oracle_sql as oracle_sql
 from gullwatch.session import scratch_path
@@ -61,6 +61,10 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_language_id,
     op2_suffix_dedup,
@@ -72,6 +76,7 @@ QUERIES = (
     op8_secret_scan,
     op9_lm_scores,
     op10_minhash_near_duplicates,
+    op13_license_scan,
 )
 
 
