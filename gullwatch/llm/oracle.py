@@ -103,11 +103,22 @@ LICENSES = f"""WITH notices(id, label, notice, phrase, base) AS (VALUES {", ".jo
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM docs LEFT JOIN found USING (doc_id)"""
 
+SEARCH = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents)
+, sizes AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM docs WHERE len(w) > 0)
+, terms AS (SELECT item_id, word, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS word FROM benchmark) GROUP BY 1, 2)
+, tf AS (SELECT r, doc_id, len(w) AS n, word, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS word FROM docs) WHERE word IN (SELECT word FROM terms) GROUP BY ALL)
+, weights AS (SELECT word, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT word, count(*) AS df FROM tf GROUP BY 1), sizes)
+, scores AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_words)))) AS BIGINT) AS score
+    FROM terms JOIN tf USING (word) JOIN weights USING (word), sizes GROUP BY 1, 2, 3)
+, ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_benchmark_decontamination": DECONTAMINATION,
         "op8_secret_scan": SECRETS,
         "op10_minhash_near_duplicates": NEAR_DUPLICATES,
+        "op12_ranked_search": SEARCH,
         "op13_license_scan": LICENSES,
     }
