@@ -113,12 +113,38 @@ SEARCH = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extr
 , ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT * FROM ranked WHERE rank <= 10"""
 
+# crc32 of a decimal text, bit by bit
+_CRC32 = """xor(list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')],
+    lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+PREFIX_TRIE = f"""WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos, digest, chars FROM (
+    SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL))
+, convs AS (SELECT conv_id, n_own, conv_id - conv_id % 100 AS donor, {_CRC32} % 6 AS h FROM (SELECT conv_id, count(*) AS n_own FROM own GROUP BY 1))
+, lent AS (SELECT convs.conv_id, own.pos, digest, chars FROM convs JOIN own ON own.conv_id = donor AND own.pos <= h)
+, kept AS (SELECT own.conv_id, own.pos - h + coalesce(n, 0) AS pos, digest, chars FROM own JOIN convs USING (conv_id)
+    LEFT JOIN (SELECT conv_id, count(*) AS n FROM lent GROUP BY 1) USING (conv_id) WHERE own.pos > h)
+, turns AS (SELECT * FROM lent UNION ALL SELECT * FROM kept)
+, totals AS (SELECT conv_id, count(pos) AS total FROM convs LEFT JOIN turns USING (conv_id) GROUP BY 1)
+, prefixes AS (SELECT conv_id, 0 AS depth, '' AS key, 0 AS chars FROM convs
+    UNION ALL SELECT conv_id, pos, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos)), chars FROM turns)
+, nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256 FROM prefixes JOIN totals USING (conv_id) GROUP BY 1, 2)
+, linked AS (SELECT nodes.*, p.key AS parent_key, up.conv_id AS parent_conv_id FROM nodes LEFT JOIN prefixes p ON p.conv_id = nodes.conv_id AND p.depth = nodes.depth - 1
+    LEFT JOIN nodes up ON up.depth = p.depth AND up.key = p.key)
+, kids AS (SELECT depth - 1 AS depth, parent_key AS key, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY 1, 2)
+, full_nodes AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (depth, key))
+, subtrees AS (SELECT p.depth, p.key, count(*) FILTER (u.n_children = 0) AS n_leaves, CAST(sum((u.n_convs - 1) * u.chars) AS BIGINT) AS saved_tokens
+    FROM full_nodes u JOIN prefixes p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_nodes JOIN subtrees USING (depth, key)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_benchmark_decontamination": DECONTAMINATION,
         "op8_secret_scan": SECRETS,
         "op10_minhash_near_duplicates": NEAR_DUPLICATES,
+        "op11_prefix_trie": PREFIX_TRIE,
         "op12_ranked_search": SEARCH,
         "op13_license_scan": LICENSES,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gullwatch.llm import decontaminate, fingerprints, language, licenses, minhash, mixing, packing, search, secrets, site_style, suffix_dedup, token_files
+from gullwatch.llm import decontaminate, fingerprints, language, licenses, minhash, mixing, packing, prefix_trie, search, secrets, site_style, suffix_dedup, token_files
 from gullwatch.llm.common import crc32_fold, read_table
 from gullwatch.llm.oracle import oracle_sql as oracle_sql
 from gullwatch.session import scratch_path
@@ -61,6 +61,10 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ QUERIES = (
     op8_secret_scan,
     op9_lm_scores,
     op10_minhash_near_duplicates,
+    op11_prefix_trie,
     op12_ranked_search,
     op13_license_scan,
 )

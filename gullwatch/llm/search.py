@@ -111,14 +111,14 @@ def find_terms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, terms: Te
     return found
 
 
-def _cuts(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Slices of about ``CHUNK_BYTES`` that end between words."""
+def word_slices(data: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """Slices of about ``size`` bytes that end between words."""
     start = 0
     while start < len(data):
-        end = min(start + CHUNK_BYTES, len(data))
+        end = min(start + size, len(data))
         while end < len(data) and WORD_BYTES[data[end]]:
-            ahead = np.flatnonzero(~WORD_BYTES[data[end : end + CHUNK_BYTES]])
-            end = end + int(ahead[0]) if len(ahead) else min(end + CHUNK_BYTES, len(data))
+            ahead = np.flatnonzero(~WORD_BYTES[data[end : end + size]])
+            end = end + int(ahead[0]) if len(ahead) else min(end + size, len(data))
         yield data[start:end]
         start = end
 
@@ -128,7 +128,7 @@ def _counted(data: np.ndarray, at: np.ndarray, terms: Terms) -> tuple[np.ndarray
     width = max(len(terms.hashes), 1)
     if len(at) == 2:  # one row, which may be long
         n, keys = 0, np.zeros(width, np.int64)
-        for part in _cuts(data):
+        for part in word_slices(data):
             starts, ends, _ = word_bounds(part, np.array([0, len(part)]), WORD_BYTES)
             number = find_terms(part, starts, ends, terms)
             n += len(starts)
@@ -189,14 +189,14 @@ class Shard:
         self.place = np.full((len(ids), width), -1, np.int32)
         self.place[self.row, term[order]] = np.arange(len(order))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
         """The k best (score, id) of this shard and of ``best``."""
         first, last = self.at[terms], self.at[terms + 1]
         held = last > first
         terms, weights, first, last = terms[held], weights[held], first[held], last[held]
         marked = np.zeros(int(last.max(initial=0)) + 1, bool)  # over the shard's places
         scored = np.zeros(len(self.ids), bool)
-        position, depth, step = first.copy(), 0, STEP  # position: the first place that is not marked
+        position, depth = first.copy(), 0  # position: the first place that is not marked
         while True:
             left = position < last
             at_best = np.maximum(position - 1, first)
@@ -227,8 +227,8 @@ def best_of(k: int, *parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray,
     return scores[order], ids[order]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_words: int) -> Iterator[Shard]:
-    most = max(1, SHARD_CELLS // width)
+def _shards(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_words: int, cells: int) -> Iterator[Shard]:
+    most = max(1, cells // width)
     for batch in batches:
         for start in range(0, batch.num_rows, most):
             part = batch.slice(start, most)
@@ -239,7 +239,7 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_words:
             yield Shard(ids, part.column(1).to_numpy(), row, *flat, width, n_docs, n_words)
 
 
-def _search_block(docs: DataFrame, items: list[tuple[int | None, bytes]], k: int) -> DataFrame:
+def _search_block(docs: DataFrame, items: list[tuple[int | None, bytes]], k: int, cells: int, step: int) -> DataFrame:
     spark = docs.sparkSession
     terms, bags = block_terms([text for _, text in items])
     width = max(len(terms.hashes), 1)
@@ -253,8 +253,8 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, bytes]], k: int
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, own, weights = block.value
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-        for shard in _shards(batches, width, n_docs, n_words):
-            best = [shard.search(t, w, k, b) for t, w, b in zip(own, weights, best)]
+        for shard in _shards(batches, width, n_docs, n_words, cells):
+            best = [shard.search(t, w, k, b, step) for t, w, b in zip(own, weights, best)]
         count = [len(b[0]) for b in best]
         doc = np.concatenate([b[1] for b in best]) if best else np.zeros(0, np.int64)
         columns = [
@@ -278,9 +278,9 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
         yield sorted(((r["item_id"], bytes(r["text"])) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, cells: int = SHARD_CELLS, step: int = STEP) -> DataFrame:
     """item_id, rank, doc_id and score of each item's k best documents; ties by doc_id."""
-    found = [_search_block(docs, block, k).withColumn("block", F.lit(b)) for b, block in enumerate(item_blocks(items))]
+    found = [_search_block(docs, block, k, cells, step).withColumn("block", F.lit(b)) for b, block in enumerate(item_blocks(items))]
     if not found:
         return docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     order = Window.partitionBy("block", "item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())

@@ -56,11 +56,15 @@ def test_equals_brute_force(spark):
 
 def test_small_shards_and_blocks_give_the_same(spark, monkeypatch):
     docs, items = tables()
-    monkeypatch.setattr(search, "SHARD_CELLS", 300)
-    monkeypatch.setattr(search, "STEP", 1)
     monkeypatch.setattr(search, "BLOCK_BYTES", 400)
-    monkeypatch.setattr(search, "CHUNK_BYTES", 100)
-    assert rows(search.search(*frames(spark, docs, items))) == sorted(brute(docs, items))
+    assert rows(search.search(*frames(spark, docs, items), cells=300, step=1)) == sorted(brute(docs, items))
+
+
+def test_slices_end_between_words():
+    raw = np.frombuffer(("ab, é12 " * 50 + "x" * 90 + " . " + "y" * 30).encode(), np.uint8)
+    parts = list(search.word_slices(raw, 16))
+    assert b"".join(p.tobytes() for p in parts) == raw.tobytes() and len(parts) > 20
+    assert [w for p in parts for w in search.text_words(p.tobytes())] == search.text_words(raw.tobytes())
 
 
 def test_stops_before_the_end_of_the_lists():
