@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from gullwatch.functions.text import keyword_score
 from gullwatch.functions.vectors import array_sum
+from gullwatch.operators import steps
 from gullwatch.operators.features import hashed_tfidf_stages
+from gullwatch.operators.sparse import entries
+from gullwatch.session import cut_lineage
 from gullwatch.sources.posts import packed
 
 
@@ -66,23 +69,11 @@ def mlp(num_features: int, hidden_layers: int, width: int, max_iter: int = 200):
     )
 
 
-def fit_by_steps(df: DataFrame, reg: float, step: float, max_iter: int = 100) -> ElementwiseProduct:
-    """Weights by gradient steps of a given size, as a stage that weights the features.
-
-    Spark offers this solver on points of its older vector type alone; the vectors are
-    converted by a column function, and only the pairing with labels leaves the DataFrame.
-    """
-    from pyspark.mllib.classification import SVMWithSGD
-    from pyspark.mllib.regression import LabeledPoint
-    from pyspark.mllib.util import MLUtils
-
-    old = MLUtils.convertVectorColumnsFromML(df.select("label", "features"), "features")
-    points = old.rdd.map(lambda r: LabeledPoint(r[0], r[1])).cache()
-    try:
-        model = SVMWithSGD.train(points, iterations=max_iter, step=step, regParam=reg)
-    finally:
-        points.unpersist()
-    return ElementwiseProduct(scalingVec=Vectors.dense(model.weights.toArray()), inputCol="features", outputCol="weighted")
+def fit_by_steps(df: DataFrame, num_features: int, reg: float, step: float, max_iter: int = 100) -> ElementwiseProduct:
+    """Weights by gradient steps of a given size, as a stage that weights the features."""
+    rows = cut_lineage(df.select("label", F.lit(0).alias("fold"), *entries("features")))
+    (weights,) = steps.fit(rows, num_features, [steps.Setting(reg, step)], max_iter=max_iter).T
+    return ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="features", outputCol="weighted")
 
 
 class Scorer:
@@ -121,7 +112,7 @@ def train(df: DataFrame, spec: Spec) -> Scorer:
     vectors = features.transform(rows).select("label", "features").persist()
     try:
         rows = packed(vectors, vectors.count(), share)
-        fitted = classifier.fit(rows) if classifier else fit_by_steps(rows, spec.reg, spec.step or 1.0, spec.max_iter or 100)
+        fitted = classifier.fit(rows) if classifier else fit_by_steps(rows, spec.num_features, spec.reg, spec.step or 1.0, spec.max_iter or 100)
     finally:
         vectors.unpersist()
     return Scorer(spec, PipelineModel([*features.stages, fitted]))

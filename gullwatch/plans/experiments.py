@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gullwatch.operators import steps
 from gullwatch.operators.classify import Scorer, Spec, keyword_classify, train
+from gullwatch.operators.features import hashed_tfidf_stages
 from gullwatch.operators.metrics import METRICS, classification_metrics, confusion, fold_summary
+from gullwatch.operators.sparse import entries
 from gullwatch.plans.clustering import cluster_posts
 from gullwatch.plans.concurrent import side_by_side
+from gullwatch.session import cut_lineage
 from gullwatch.sources.models import load_model, save_model
+from gullwatch.sources.posts import packed
 from gullwatch.sources.sinks import pending_runs, run_name, write_quadrants
 
 # Train share and number of folds.
@@ -184,22 +191,63 @@ def spec_of_run(classifier: str, num_features: int, params: str) -> Spec:
     return Spec("MLP", num_features, hidden_layers=int(a), width=int(b))
 
 
-def run_grid(df: DataFrame, runs: DataFrame, path: str, k: int = FOLDS, by: str = "dataset") -> DataFrame:
-    """Cross-validate each run that ``path`` holds no result of; append its mean test metrics.
+def cross_validate_steps(df: DataFrame, specs: Sequence[Spec], k: int = FOLDS) -> DataFrame:
+    """``(setting, fold, part, tp, fp, tn, fn, metrics...)`` of SVMs by steps that share their number of features.
 
-    The loop is over parameter settings, a fixed grid; each fit is distributed. A run's row
-    is written when it ends, so an interrupted grid goes on where it stopped. Returns all
-    results of ``path``.
+    All settings and folds are trained together over one matrix of hashed term counts: the
+    IDF of a fold's training rows scales its weights, so the matrix itself does not depend
+    on the fold. ``setting`` is the place in ``specs``.
+    """
+    (dims,) = {s.num_features for s in specs}
+    (max_iter,) = {s.max_iter or 100 for s in specs}
+    counted = Pipeline(stages=hashed_tfidf_stages(dims)[:2]).fit(df).transform(assign_folds(df, k))
+    rows = cut_lineage(counted.select(F.col("label").cast("double").alias("label"), "fold", *entries("rawFeatures")))
+    # iterations read the rows again and again; few rows need few tasks
+    rows = packed(rows, rows.count())
+    sizes, held = steps.fold_frequencies(rows, dims, k)
+    idf = np.log((sizes.sum() - sizes + 1) / (held.sum(axis=1, keepdims=True) - held + 1))
+    fits = [(i, steps.Setting(s.reg, s.step or 1.0, f)) for i, s in enumerate(specs) for f in range(k)]
+    parts = []
+    for start in range(0, len(fits), steps.shared_fits(dims)):
+        own = [setting for _, setting in fits[start : start + steps.shared_fits(dims)]]
+        scale = idf[:, [s.fold for s in own]]
+        weights = steps.fit(rows, dims, own, scale, max_iter)
+        parts.append(steps.confusions(rows, scale * weights, own).withColumn("setting", F.col("setting") + start))
+    fit, fold = F.col("setting"), F.col("setting") % k  # fits are numbered setting by setting
+    counts = reduce(DataFrame.unionByName, parts).select(F.floor(fit / k).cast("int").alias("setting"), fold.alias("fold"), "part", "tp", "fp", "tn", "fn")
+    return classification_metrics(counts)
+
+
+def _mean_test(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    summary = fold_summary(results.filter(F.col("part") == _TEST), by)
+    return summary.groupBy(*by).pivot("metric", METRICS).agg(F.first("avg"))
+
+
+def run_grid(df: DataFrame, runs: DataFrame, path: str, k: int = FOLDS, by: str = "dataset", max_iter: int | None = None) -> DataFrame:
+    """Cross-validate the runs that ``path`` holds no result of; append their mean test metrics.
+
+    All SVM runs of a dataset and number of features are trained together, so the jobs grow
+    with the steps, not with the runs. MLP runs follow one by one; each fit is distributed.
+    Results are written as they come, so an interrupted grid goes on where it stopped.
+    Returns all results of ``path``.
     """
     spark = df.sparkSession
     schema = "run string, " + ", ".join(f"{m} double" for m in METRICS)
     spark.createDataFrame([], schema).write.mode("append").parquet(path)  # a folder to read from
+    groups: dict[tuple, list] = {}
     for r in pending_runs(runs, spark.read.schema(schema).parquet(path)).collect():  # the grid's size
-        posts = df.filter(F.col(by) == r.dataset)
-        spec = spec_of_run(r.classifier, r.num_features, r.params)
-        summary = cross_validation_summary(cross_validate(posts, model_fit(spec), k))
-        test = summary.filter(F.col("part") == _TEST).groupBy().pivot("metric", METRICS).agg(F.first("avg"))
-        test.select(F.lit(r.run).alias("run"), *METRICS).write.mode("append").parquet(path)
+        alone = r.run if r.classifier != "SVM" else ""
+        groups.setdefault((r.dataset, r.classifier, r.num_features, alone), []).append(r)
+    for (dataset, classifier, _, _), own in sorted(groups.items()):
+        own.sort(key=lambda r: r.run)
+        posts = df.filter(F.col(by) == dataset)
+        specs = [spec_of_run(r.classifier, r.num_features, r.params).with_(max_iter=max_iter) for r in own]
+        if classifier == "SVM":
+            results = cross_validate_steps(posts, specs, k)
+        else:
+            results = cross_validate(posts, model_fit(specs[0]), k).withColumn("setting", F.lit(0))
+        names = spark.createDataFrame([(i, r.run) for i, r in enumerate(own)], "setting int, run string")
+        _mean_test(results, ["setting"]).join(names, "setting").select("run", *METRICS).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
