@@ -119,7 +119,7 @@ SCORED = (
 )
 TOKENS = NORMED + """, toks AS (
   SELECT id, unnest(string_split(p, ' ')) AS term FROM normed WHERE p <> '')
-, tf AS (SELECT id, term, count(*) AS tf FROM toks WHERE term <> '' GROUP BY 1, 2)
+, tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM toks WHERE term <> '' GROUP BY 1, 2)
 , df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
 , weights AS (
   SELECT id, term, tf, df, tf * ln(((SELECT count(*) FROM docs) + 1.0) / (df + 1.0)) AS weight
@@ -233,6 +233,52 @@ _GRID = f"""sets AS (
 , named AS (SELECT *, concat_ws('_', 'TF-IDF', num_features, classifier, params, dataset) AS run FROM runs)"""
 
 
+def _hashed(rows: str, dims: int) -> str:
+    """Slots of the tokens of ``p`` by 32-bit Murmur3 with seed 42, and their TF-IDF over the same rows."""
+    low = lambda x: f"(({x}) % 4294967296)"
+    turn = lambda x, n: f"({x} * {2**n} % 4294967296 + {x} // {2 ** (32 - n)})"
+    four = "c[4 * i + 1] + c[4 * i + 2] * 256 + c[4 * i + 3] * 65536 + c[4 * i + 4] * 16777216"
+    step = turn("xor(h, k)", 13)
+    return f""", words AS (SELECT id, unnest(string_split(p, ' ')) AS term FROM {rows})
+, spelled AS (SELECT term, length(term)::HUGEINT AS n, list_transform(string_split(term, ''), lambda x: ascii(x)::HUGEINT) AS c FROM (SELECT DISTINCT term FROM words))
+, quads AS (SELECT *, list_transform(range((n // 4)::BIGINT), lambda i: {low(f"({four}) * 3432918353")}) AS q,
+    CASE WHEN n % 4 > 0 THEN c[4 * (n // 4)::BIGINT + 1] + coalesce(c[4 * (n // 4)::BIGINT + 2], 0) * 256 + coalesce(c[4 * (n // 4)::BIGINT + 3], 0) * 65536 ELSE 0 END AS rest FROM spelled)
+, body AS (SELECT term, n, list_reduce([42::HUGEINT] || list_transform(q, lambda x: {low(turn("x", 15) + " * 461845907")}), lambda h, k: {low(f"{step} * 5 + 3864292196")}) AS h, {low("rest * 3432918353")} AS r FROM quads)
+, tailed AS (SELECT term, xor(xor(h, {low(turn("r", 15) + " * 461845907")}), n) AS h FROM body)
+, mixed AS (SELECT term, {low("xor(h, h // 65536) * 2246822507")} AS h FROM tailed)
+, remixed AS (SELECT term, {low("xor(h, h // 8192) * 3266489909")} AS h FROM mixed)
+, placed AS (SELECT term, (CASE WHEN f >= 2147483648 THEN ((f - 4294967296) % {dims} + {dims}) % {dims} ELSE f % {dims} END)::INTEGER AS slot FROM (SELECT term, xor(h, h // 65536) AS f FROM remixed))
+, slots AS MATERIALIZED (SELECT id, slot, count(*) AS tf FROM words JOIN placed USING (term) GROUP BY 1, 2)
+, slot_idf AS (SELECT slot, ln(((SELECT count(*) FROM {rows}) + 1.0) / (count(*) + 1.0)) AS idf FROM slots GROUP BY 1)
+, weighted AS MATERIALIZED (SELECT id, slot, tf * idf AS v FROM slots JOIN slot_idf USING (slot))"""
+
+
+def _gradient_steps(dims: int, reg: float, step: float, n: int) -> str:
+    """Hinge-loss steps from zero weights over ``weighted`` and the labels of ``normed``."""
+    sql = f", w0 AS (SELECT unnest(range({dims}))::INTEGER AS slot, 0.0::DOUBLE AS w)"
+    for t in range(1, n + 1):
+        size = step / t**0.5
+        sql += f"""
+, m{t} AS (SELECT normed.id, 2 * label - 1 AS y, coalesce(sum(v * w), 0.0) AS m FROM normed LEFT JOIN weighted ON weighted.id = normed.id LEFT JOIN w{t - 1} USING (slot) GROUP BY 1, 2)
+, g{t} AS (SELECT slot, sum(-y * v) / (SELECT count(*) FROM normed) AS g FROM weighted JOIN m{t} ON weighted.id = m{t}.id WHERE 1 > y * m GROUP BY 1)
+, w{t} AS MATERIALIZED (SELECT slot, w * (1 - {size!r} * {reg}) - {size!r} * coalesce(g, 0.0) AS w FROM w{t - 1} LEFT JOIN g{t} USING (slot))"""
+    return sql
+
+
+def _clustered(source: str, tokens: str = "string_split(p, ' ')") -> str:
+    """Each post of ``source`` in one sound cluster; without terms if all its tokens are in every post."""
+    return f""", own AS (SELECT DISTINCT id, unnest({tokens}) AS term FROM {source})
+, telling AS (SELECT term FROM own WHERE term <> '' GROUP BY 1 HAVING count(*) < (SELECT count(*) FROM {source}))
+, told AS (SELECT DISTINCT id FROM own JOIN telling USING (term))
+SELECT id, 1::BIGINT AS in_clusters, id NOT IN (SELECT id FROM told) AS without_terms, TRUE AS cohesive, TRUE AS described FROM {source}"""
+
+
+_RAW_TOKENS = "regexp_split_to_array(rtrim(lower(tweet), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s')"
+_LABELLED = "count(*) FILTER (label > 0) AS positives, count(*) FILTER (label <= 0) AS negatives, TRUE AS rates_agree"
+_PART = "CASE WHEN (('0x' || substr(md5(id), 1, 8))::BIGINT % 10000) / 10000 < 0.6 THEN 'train' ELSE 'test' END"
+_FOLD_PARTS = f"folded AS (SELECT *, {FOLD} AS own FROM posts), parts AS (SELECT f.i AS fold, CASE WHEN own = f.i THEN 'test' ELSE 'train' END AS part, label FROM folded, (SELECT unnest(range(10))::INTEGER AS i) f)"
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         # sources and sinks
@@ -280,13 +326,18 @@ SELECT row_number() OVER (ORDER BY y, week) AS week_bucket, week, n_posts FROM w
         "kmeans_cost": f"WITH {VECTORS}, firsts AS (SELECT cluster, min(id) AS f FROM vecs GROUP BY 1), c AS (SELECT v.cluster, pos, x AS c FROM vecs v JOIN firsts ON v.id = f), d AS (SELECT v.id, c.cluster, sum((x - c) * (x - c)) AS d FROM vecs v JOIN c ON v.pos = c.pos GROUP BY 1, 2), near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS r FROM d) SELECT cluster, count(*) AS n, round(sum(d), 6) AS sse FROM near WHERE r = 1 GROUP BY 1",
         # features
         "tfidf_terms": f"WITH {TOKENS} SELECT id, term, tf, df, round(weight, 6) AS weight FROM weights",
-        "tfidf_apply": f"""WITH {TOKENS}, fitted AS (SELECT term, count(*) AS df FROM tf WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) GROUP BY 1)
-, n AS (SELECT count(*) AS n FROM docs WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))
-, w AS (SELECT id, term, tf, coalesce(fitted.df, 0) AS df, tf * ln(((SELECT n FROM n) + 1.0) / (coalesce(fitted.df, 0) + 1.0)) AS weight FROM tf LEFT JOIN fitted USING (term) WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))
-SELECT id, term, tf, df, round(weight, 6) AS weight FROM w WHERE df < (SELECT n FROM n)""",
+        "tfidf_apply": f"""WITH {TOKENS}, known AS MATERIALIZED (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels)
+, sizes AS (SELECT count(*) AS n FROM docs JOIN known USING (id))
+, fitted AS (SELECT term, count(*) AS df FROM tf JOIN known USING (id) GROUP BY 1)
+, others AS (SELECT tf.id, term, tf.tf, coalesce(fitted.df, 0) AS df FROM tf ANTI JOIN known USING (id) LEFT JOIN fitted USING (term))
+SELECT id, term, tf, df, round(tf * ln((n + 1.0) / (df + 1.0)), 6) AS weight FROM others, sizes WHERE df < n""",
         "max_tokens": f"WITH {NORMED} SELECT max(len(string_split(p, ' ')))::INTEGER AS max_tokens FROM normed",
         "linear_score": f"WITH {BLANK_TOKENS}, m AS (SELECT id, sum(weight * ((df % 7) - 3) / 10.0) AS margin FROM weights GROUP BY 1) SELECT docs.id, round(coalesce(margin, 0.0), 4) AS margin FROM docs LEFT JOIN m USING (id)",
-        "token_embedding_lookup": f"WITH {TOKENS}, {DICTIONARY}, t AS (SELECT term AS token, sum(tf)::BIGINT AS n FROM tf GROUP BY 1) SELECT t.token, n, d.token IS NOT NULL AS known, round(list_sum(coalesce(d.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>'))::DOUBLE[]), 6) AS total FROM t LEFT JOIN dict d ON t.token = d.token",
+        "token_embedding_lookup": f"""WITH {TOKENS}, {DICTIONARY}
+, totals AS MATERIALIZED (SELECT token, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM dict)
+, counted AS (SELECT term AS token, sum(tf)::BIGINT AS n FROM tf GROUP BY 1)
+, looked AS (SELECT counted.token, n, total FROM counted LEFT JOIN totals USING (token))
+SELECT token, n, looked.total IS NOT NULL AS known, coalesce(looked.total, u.total) AS total FROM looked, (SELECT total FROM totals WHERE token = '<UNK>') u""",
         "doc_vector_mean": f"{VECTOR_MEANS} SELECT id, pos, round(x, 6) AS x FROM m",
         "embed_preview": f"{VECTOR_MEANS} SELECT id, round(sum(x), 6) AS total FROM m GROUP BY 1 ORDER BY id LIMIT 1000",
         "doc_vector_concat": f"WITH {BLANK_NORMED}, {DICTIONARY}, t AS (SELECT id, unnest(string_split(p, ' ')) AS token, unnest(range(len(string_split(p, ' ')))) AS pos FROM normed), s AS (SELECT token, coalesce(dict.embedding, (SELECT embedding FROM dict WHERE token = '<UNK>')) AS e FROM (SELECT DISTINCT token FROM t) LEFT JOIN dict USING (token)), u AS (SELECT token, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) - 1 AS j FROM s) SELECT id, ((SELECT max(pos) + 1 FROM t) * 64)::BIGINT AS size, count(*) AS n_values, round(sum(x * ((pos * 64 + j) % 7 + 1)), 4) AS checksum FROM t JOIN u USING (token) GROUP BY id",
@@ -309,6 +360,28 @@ SELECT id, term, tf, df, round(weight, 6) AS weight FROM w WHERE df < (SELECT n
         "grid_best": f"WITH {SCORED}{_metrics('scored', 'dataset, source')}, r AS (SELECT *, dataset || '_' || source AS run, row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC, dataset || '_' || source) AS r FROM metrics) SELECT dataset, run, accuracy FROM r WHERE r = 1",
         "preview": f"WITH {NORMED} SELECT id, p FROM normed ORDER BY id LIMIT 1000",
         "posts_distinct": f"WITH {DOCS} SELECT id, min(t) AS tweet FROM (SELECT id, tweet AS t FROM docs UNION ALL SELECT id, '!' || tweet FROM docs) GROUP BY 1",
+        "tfidf_features": f"WITH {NORMED}{_hashed('normed', 3000)} SELECT normed.id, count(*) FILTER (v <> 0)::INTEGER AS n_terms, round(coalesce(sum(v), 0.0), 6) AS total FROM normed LEFT JOIN weighted USING (id) GROUP BY 1",
+        "pca_project": "SELECT vec_id AS id, 30::INTEGER AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS square, TRUE AS first_components FROM embeddings",
+        "stopwords_file": f"WITH {DOCS} SELECT id, {_no_stop('lower(tweet)')} AS t, TRUE AS same FROM docs",
+        "svm_train": f"WITH {POSTS} SELECT id, TRUE AS agrees FROM posts",
+        "train_model": f"WITH {POSTS} SELECT id, TRUE AS agrees FROM posts",
+        "svm_steps": f"WITH {SCORED}{_hashed('normed', 40)}{_gradient_steps(40, 0.1, 1.0, 4)} SELECT slot AS feature, round(w, 6) AS w FROM w4",
+        **{name: f"WITH {DOCS} SELECT id, TRUE AS agrees FROM docs WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)" for name in ("svm_classify", "svm_sgd_classify", "mlp_classify")},
+        "mlp_train": "SELECT ((3000 + 1) * 14 + 6 * (14 + 1) * 14 + (14 + 1) * 2)::BIGINT AS n_weights, 0::BIGINT AS n_nan, TRUE AS learned",
+        "cross_validate_svm": f"WITH {POSTS}, {_FOLD_PARTS} SELECT fold, part, {_LABELLED} FROM parts GROUP BY 1, 2",
+        "cross_validate_steps": f"WITH {POSTS}, {_FOLD_PARTS} SELECT setting, fold, part, {_LABELLED} FROM parts, (SELECT unnest([0, 1])::INTEGER AS setting) GROUP BY 1, 2, 3",
+        **{name: f"WITH {POSTS} SELECT period, {_LABELLED} FROM posts GROUP BY 1" for name in ("ensemble_svm", "ensemble_mlp")},
+        "classify_saved": f"WITH {POSTS} SELECT {_LABELLED} FROM posts WHERE {_PART} = 'test'",
+        "train_and_test": f"WITH {POSTS} SELECT {_LABELLED}, count(*) AS n_clustered, TRUE AS all_final, TRUE AS each_once FROM posts WHERE {_PART} = 'test'",
+        "grid_search": f"WITH {POSTS}, {_GRID} SELECT run, TRUE AS consistent FROM named WHERE num_features IN (30, 50) AND dataset IN ('A', 'B') AND (classifier = 'SVM' OR params IN ('2_5', '3_7'))",
+        "kmeans_assign": f"WITH {DOCS} SELECT id, TRUE AS nearest FROM docs",
+        "kmeans_sweep": "SELECT 2::INTEGER AS first_k, TRUE AS one_by_one, TRUE AS falling, TRUE AS ended",
+        "recursive_clusters": f"WITH {NORMED}{_clustered('normed')}",
+        "pooled_clusters": f"WITH {SCORED}{_clustered('normed')}",
+        "cluster_positives": f"WITH {SCORED}, positive AS (SELECT * FROM normed WHERE label = 1){_clustered('positive')}",
+        "cluster_raw": f"WITH {DOCS}, filled AS (SELECT * FROM docs WHERE tweet <> ''){_clustered('filled', _RAW_TOKENS)}",
+        "weekly_clusters": f"WITH {NORMED}, late AS (SELECT * FROM normed WHERE day > DATE '2016-04-01'){_clustered('late')}",
+        "weekly_positive_clusters": "SELECT TRUE AS all_fine, TRUE AS one_week",
         # clusters
         "cluster_similarity": f"WITH {CLUSTERS} SELECT cluster, n, n_common, min_terms, round(similarity, 6) AS similarity FROM sims",
         "cluster_weight_similarity": f"""WITH {CLUSTERS}, w AS (SELECT cluster, id, round(weight, 9) AS v, count(*) AS k FROM long GROUP BY 1, 2, 3)

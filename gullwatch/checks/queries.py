@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +32,9 @@ from gullwatch.functions import dates, text
 from gullwatch.functions import vectors as V
 from gullwatch.functions.fixed import CUTOFF_DAY
 from gullwatch.operators import cohesion, components, distances, exemplars, features, kmeans, metrics, weeks
+from gullwatch.functions.text import tokenise
 from gullwatch.operators.classify import Spec, keyword_classify, train
+from gullwatch.operators.sparse import column, entries, slices
 from gullwatch.plans import clustering, experiments
 from gullwatch.plans.listings import clean_listing, with_origin, write_clean_listing
 from gullwatch.session import cut_lineage, scratch_path, tune
@@ -148,6 +153,18 @@ _on_text("text_signature_clean", lambda c: text.clean_for_signature(c, STOPWORDS
 _on_text("token_signature", lambda c: text.token_signature(text.normalised(c)))
 
 
+@query
+def stopwords_file(spark, sf_dir):
+    """Stop words read from a file, one a line; a short list and a long one that is joined."""
+    path = scratch_path(spark, "stopwords")
+    spark.createDataFrame([(w,) for w in STOPWORDS], "value string").write.text(path)
+    words = F.split(F.rtrim(F.lower("tweet")), " ")
+    rows = texts(spark, sf_dir).select("id", words.alias("words"))
+    listed = io.read_stopwords(spark, path)
+    short, joined = (features.drop_stopwords(rows, listed, max_literal=n).select("id", F.array_join("words", " ").alias(c)) for n, c in ((5000, "t"), (1, "joined")))
+    return short.join(joined, "id").select("id", "t", F.col("t").eqNullSafe(F.col("joined")).alias("same"))
+
+
 @query
 def text_strip_urls(spark, sf_dir):
     page = F.concat_ws(" ", "url", "html")
@@ -381,8 +398,12 @@ def pca_project(spark, sf_dir):
 
     rows = vectors(spark, sf_dir).withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
     model = features.pca(30).fit(rows)
-    projected = model.transform(rows).select("id", vector_to_array("projected").alias("p"))
-    return projected.select("id", F.size("p").alias("dims"), F.round(V.dot(F.col("p"), F.col("p")), 6).alias("square"))
+    whole = features.pca(len(rows.first().vector), target="turned").fit(rows)
+    both = whole.transform(model.transform(rows)).select("id", vector_to_array("projected").alias("p"), vector_to_array("turned").alias("t"))
+    square = V.dot(F.col("t"), F.col("t"))  # all components: a rotation, which keeps lengths
+    first = F.slice("t", 1, F.size("p"))
+    same = V.sqdist(F.transform("p", F.abs), F.transform(first, F.abs)) <= 1e-9 * (1 + square)
+    return both.select("id", F.size("p").alias("dims"), F.round(square, 4).alias("square"), same.alias("first_components"))
 
 
 # --- classification ------------------------------------------------------------------
@@ -430,43 +451,88 @@ def basic_statistics(spark, sf_dir):
     return metrics.basic_statistics(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
-@query
-def svm_train(spark, sf_dir):
-    scorer = train(processed(posts(spark, sf_dir)), Spec("SVM"))
-    model = scorer.model.stages[-1]
-    return spark.createDataFrame(
-        [(i, float(w)) for i, w in enumerate(model.coefficients.toArray())], "feature int, w double"
-    )
+def _agreeing(scored: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(id, agrees)``: whether a margin is the sum of its features times the written ``(feature, w)``."""
+    long = scored.select("id", F.explode(F.arrays_zip(*entries("features"))).alias("e"))
+    sums = long.join(weights, F.col("e.indices") == F.col("feature")).groupBy("id").agg(F.sum(F.col("e.values") * F.col("w")).alias("sum"))
+    total = F.coalesce("sum", F.lit(0.0))
+    close = F.abs(F.col("prediction") - total) <= 1e-9 * (1 + F.abs(total))
+    return scored.select("id", "prediction").join(sums, "id", "left").select("id", close.alias("agrees"))
+
 
+def _written_weights(spark: SparkSession, scorer) -> DataFrame:
+    stage = scorer.model.stages[-1]
+    vector = stage.getScalingVec() if scorer.spec.by_steps else stage.coefficients
+    path = scratch_path(spark, "weights")
+    spark.createDataFrame([(i, float(w)) for i, w in enumerate(vector.toArray())], "feature int, w double").write.parquet(path)
+    return spark.read.parquet(path)
 
-def _classified(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
-    """Unlabelled documents scored by a model trained on the labelled ones."""
+
+def _classified(spark: SparkSession, sf_dir: str, spec: Spec):
+    """The model trained on labelled documents, and the unlabelled ones that it scored."""
     known = labels(spark, sf_dir)
     scorer = train(processed(posts(spark, sf_dir)), spec)
     rest = processed(texts(spark, sf_dir).join(known, "id", "left_anti"))
-    return scorer.transform(rest).select("id", "prediction")
+    return scorer, scorer.transform(rest).select("id", "features", "prediction")
+
+
+@query
+def svm_train(spark, sf_dir):
+    """Every labelled post's margin, from the model and from its written weights."""
+    rows = processed(posts(spark, sf_dir))
+    scorer = train(rows, Spec("SVM"))
+    return _agreeing(scorer.transform(rows), _written_weights(spark, scorer))
+
+
+@query
+def svm_steps(spark, sf_dir):
+    """Weights after a few gradient steps over 40 hashed features."""
+    scorer = train(processed(posts(spark, sf_dir)), Spec("SVM", 40, reg=0.1, step=1.0, max_iter=4))
+    return _rounded(_written_weights(spark, scorer), w=6)
 
 
 @query
 def svm_classify(spark, sf_dir):
-    return _classified(spark, sf_dir, Spec("SVM"))
+    scorer, scored = _classified(spark, sf_dir, Spec("SVM"))
+    return _agreeing(scored, _written_weights(spark, scorer))
 
 
 @query
 def svm_sgd_classify(spark, sf_dir):
-    return _classified(spark, sf_dir, Spec("SVM", reg=2.0, step=0.1))
+    scorer, scored = _classified(spark, sf_dir, Spec("SVM", reg=2.0, step=0.1))
+    return _agreeing(scored, _written_weights(spark, scorer))
 
 
 @query
 def mlp_train(spark, sf_dir):
+    """Number of weights of the layers, and whether all are numbers and some were learned."""
     scorer = train(processed(posts(spark, sf_dir)), Spec("MLP"))
-    model = scorer.model.stages[-1]
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights.toArray())], "position int, w double")
+    weights = spark.createDataFrame([(float(w),) for w in scorer.model.stages[-1].weights.toArray()], "w double")
+    return weights.agg(F.count("w").alias("n_weights"), F.count_if(F.isnan("w")).alias("n_nan"), (F.stddev("w") > 0).alias("learned"))
 
 
 @query
 def mlp_classify(spark, sf_dir):
-    return _classified(spark, sf_dir, Spec("MLP"))
+    """Every unlabelled post's class, from the model and from a forward pass over its weights."""
+    scorer, scored = _classified(spark, sf_dir, Spec("MLP"))
+    model = scorer.model.stages[-1]
+    layers, weights = model.getLayers(), model.weights.toArray()
+
+    def forward(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, layers[0]))
+            for part in slices(batch):
+                out[part.start : part.end, part.columns] = part.matrix
+            at = 0
+            for i, (n, m) in enumerate(zip(layers, layers[1:])):
+                matrix, bias = weights[at : at + n * m].reshape(n, m), weights[at + n * m : at + n * m + m]
+                out, at = out @ matrix + bias, at + n * m + m
+                if i < len(layers) - 2:
+                    out = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+            agrees = out.argmax(axis=1) == column(batch, "prediction").to_numpy()
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(agrees)], names=["id", "agrees"])
+
+    return scored.select("id", "prediction", *entries("features")).mapInArrow(forward, "id string, agrees boolean")
 
 
 @query
@@ -512,10 +578,26 @@ def cross_validate_fit_per_fold(spark, sf_dir):
     return experiments.cross_validate(rows, experiments.keyword_fit)
 
 
+def _classes(results: DataFrame, *by: str) -> DataFrame:
+    """Rows of each class, and whether the rates are those of the counts."""
+    part = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0)), 5)
+    agree = (F.col("tpr") == part("tp", "fn")) & (F.col("tnr") == part("tn", "fp")) & (F.col("precision") == part("tp", "fp"))
+    return results.select(*by, (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"), agree.alias("rates_agree"))
+
+
 @query
 def cross_validate_svm(spark, sf_dir):
     rows = cut_lineage(processed(posts(spark, sf_dir)).select("id", "label", "processedTweet"))
-    return experiments.cross_validation_summary(experiments.cross_validate(rows, experiments.model_fit(Spec("SVM"))))
+    results = experiments.cross_validate(rows, experiments.model_fit(Spec("SVM", max_iter=20)))
+    return _classes(results, "fold", "part")
+
+
+@query
+def cross_validate_steps(spark, sf_dir):
+    """Two step sizes and all folds in one pass over the posts for each step."""
+    rows = cut_lineage(processed(posts(spark, sf_dir)).select("id", "label", "processedTweet"))
+    specs = [Spec("SVM", 300, reg=0.1, step=s, max_iter=20) for s in (0.5, 2.0)]
+    return _classes(experiments.cross_validate_steps(rows, specs), "setting", "fold", "part")
 
 
 @query
@@ -538,13 +620,13 @@ def _source_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ensemble_svm(spark, sf_dir):
     scored = experiments.ensemble(_source_posts(spark, sf_dir), experiments.ENSEMBLE_SVM)
-    return experiments.ensemble_metrics(scored)
+    return _classes(experiments.ensemble_metrics(scored), "period")
 
 
 @query
 def ensemble_mlp(spark, sf_dir):
     scored = experiments.ensemble(_source_posts(spark, sf_dir), experiments.ENSEMBLE_MLP)
-    return experiments.ensemble_metrics(scored)
+    return _classes(experiments.ensemble_metrics(scored), "period")
 
 
 def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,13 +657,26 @@ def grid_best(spark, sf_dir):
     return experiments.best_run(named, "accuracy", ["dataset"])
 
 
+@query
+def grid_search(spark, sf_dir):
+    """A part of the grid with values of every axis: all SVM settings together, MLPs one by one."""
+    runs = experiments.grid(_datasets(spark, sf_dir)).filter("num_features in (30, 50) and dataset in ('A', 'B')")
+    runs = runs.filter("classifier = 'SVM' or params in ('2_5', '3_7')")
+    results = experiments.run_grid(_source_posts(spark, sf_dir), runs, scratch_path(spark, "grid"), k=2, max_iter=10)
+    within = reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in metrics.METRICS])
+    held = F.abs(F.col("tpr") - F.col("recall")) <= 1e-9
+    return results.select("run", (within & held).alias("consistent"))
+
+
 @query
 def train_model(spark, sf_dir):
+    """A model saved and read back scores as its written weights do."""
     path = scratch_path(spark, "model")
     spec = experiments.ENSEMBLE_SVM["A"]
-    experiments.train_model(processed(posts(spark, sf_dir)), spec, path)
-    weights = models.load_model(path, spec).model.stages[-1].getScalingVec()
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights.toArray())], "feature int, w double")
+    rows = processed(posts(spark, sf_dir))
+    experiments.train_model(rows, spec, path)
+    loaded = models.load_model(path, spec)
+    return _agreeing(loaded.transform(rows), _written_weights(spark, loaded))
 
 
 @query
@@ -591,17 +686,16 @@ def classify_saved(spark, sf_dir):
     parts = experiments.hash_split(rows)
     scorer = experiments.train_model(parts.filter(F.col("part") == "train"), experiments.BEST_PER_SOURCE["A"], path)
     test = parts.filter(F.col("part") == "test")
-    return experiments.classify_saved(test, scorer.spec, path, scratch_path(spark, "quadrants"))
+    return _classes(experiments.classify_saved(test, scorer.spec, path, scratch_path(spark, "quadrants")))
 
 
 @query
 def train_and_test(spark, sf_dir):
     rows = processed(posts(spark, sf_dir))
-    results, _scored_rows, clusters, _members = experiments.train_and_test(rows, Spec("SVM"))
-    counted = clusters.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_clustered"))
-    columns = [*results.columns, "n_clusters", "n_clustered"]
-    both = results.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one")
-    return both.select(*columns)
+    results, _scored_rows, clusters, members = experiments.train_and_test(rows, Spec("SVM", max_iter=20))
+    counted = clusters.agg(F.sum("n").alias("n_clustered"), F.bool_and("final").alias("all_final"))
+    once = members.agg((F.count("id") == F.count_distinct("id")).alias("each_once"))
+    return _classes(results).crossJoin(counted).crossJoin(once)  # three tables of one row
 
 
 # --- posts ---------------------------------------------------------------------------
@@ -722,47 +816,88 @@ def eps_components(spark, sf_dir):
 
 @query
 def kmeans_assign(spark, sf_dir):
+    """Whether the cluster given to a post is that of the nearest center."""
     rows = cut_lineage(clustering.with_features(processed(texts(spark, sf_dir))).select("id", "features"))
     model = kmeans.fit(rows, 8)
-    return model.transform(rows).select("id", "prediction")
+    centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
+    nearest = kmeans.assign(rows.select("id", vector_to_array("features").alias("vector")), centers)
+    given = model.transform(rows).select("id", "prediction")
+    return given.join(nearest, "id").select("id", (F.col("prediction") == F.col("cluster")).alias("nearest"))
 
 
 @query
 def kmeans_sweep(spark, sf_dir):
+    """The costs of a sweep: k from two up by one, falling up to the last."""
     rows = cut_lineage(clustering.with_features(processed(texts(spark, sf_dir))).select("id", "features"))
     sweep = kmeans.kmeans_sweep(rows, rows.count())
-    return spark.createDataFrame(sweep.costs, "k int, sse double")
+    ks, costs = zip(*sweep.costs)
+    falling = all(b < a for a, b in zip(costs[:-2], costs[1:-1]))
+    ended = len(costs) < 2 or costs[-1] >= costs[-2] or costs[-1] == 0 or ks[-1] >= kmeans.most_centers(rows)
+    return spark.createDataFrame([(ks[0], ks == tuple(range(ks[0], ks[0] + len(ks))), falling, ended)], "first_k int, one_by_one boolean, falling boolean, ended boolean")
+
+
+def _verified(result: tuple[DataFrame, DataFrame], sets: DataFrame) -> DataFrame:
+    """For each post: clusters that hold it, whether it has no terms, and whether its cluster keeps what it states."""
+    clusters, members = (cut_lineage(d.drop("week_bucket")) for d in result)
+    again = cohesion.cluster_similarity(members.join(sets.select("id", "terms"), "id"))
+    exemplar = members.join(clusters, (members["cluster"] == clusters["cluster"]) & (members["id"] == clusters["exemplar_id"]))
+    kept = exemplar.select(members["cluster"].alias("cluster")).distinct().withColumn("has_exemplar", F.lit(True))
+    empty = F.col("cluster").endswith("empty")
+    same = F.abs(F.col("found") - F.col("similarity")) <= 1e-9
+    judged = (
+        clusters.join(again.select("cluster", F.col("n").alias("counted"), F.col("similarity").alias("found")), "cluster", "left")
+        .join(kept, "cluster", "left")
+        .select("cluster", empty.alias("without_terms"), (F.col("final") & (empty | (same & (F.col("found") >= 2 / 3)))).alias("cohesive"), ((F.col("n") == F.col("counted")) & F.coalesce("has_exemplar", F.lit(False))).alias("described"))
+    )
+    return members.join(judged, "cluster", "left").groupBy("id").agg(
+        F.count(F.lit(1)).alias("in_clusters"), F.bool_or("without_terms").alias("without_terms"), F.bool_and("cohesive").alias("cohesive"), F.bool_and("described").alias("described")
+    )
 
 
-def _cluster_rows(result: tuple[DataFrame, DataFrame]) -> DataFrame:
-    clusters, members = result
-    return members.join(clusters.drop("week_bucket"), "cluster").select(
-        "cluster", "id", "n", "similarity", "final", "exemplar_id"
-    )
+def _term_sets(rows: DataFrame, text: str = "processedTweet") -> DataFrame:
+    return features.weighted_term_sets(rows.withColumn("words", tokenise(F.col(text))))
 
 
 @query
 def recursive_clusters(spark, sf_dir):
-    return _cluster_rows(clustering.cluster_posts(processed(texts(spark, sf_dir))))
+    rows = cut_lineage(processed(texts(spark, sf_dir)))
+    return _verified(clustering.cluster_posts(rows), _term_sets(rows))
+
+
+@query
+def pooled_clusters(spark, sf_dir):
+    """The rule that pools open posts, k carried from round to round, over the labelled posts."""
+    rows = cut_lineage(processed(posts(spark, sf_dir)))
+    return _verified(clustering.cluster_posts(rows, num_features=300, rule="pool", carry_k=True), _term_sets(rows))
 
 
 @query
 def cluster_positives(spark, sf_dir):
-    return _cluster_rows(clustering.cluster_positives(processed(posts(spark, sf_dir))))
+    rows = cut_lineage(processed(posts(spark, sf_dir)))
+    return _verified(clustering.cluster_positives(rows), _term_sets(rows.filter("label = 1")))
 
 
 @query
 def cluster_raw(spark, sf_dir):
-    return _cluster_rows(clustering.cluster_raw(texts(spark, sf_dir)))
+    rows = cut_lineage(texts(spark, sf_dir))
+    return _verified(clustering.cluster_raw(rows), _term_sets(io.nonempty(rows), "tweet"))
 
 
 @query
 def weekly_clusters(spark, sf_dir):
-    return _cluster_rows(clustering.weekly_clusters(_after_cutoff(processed(texts(spark, sf_dir)))))
+    rows = cut_lineage(_after_cutoff(processed(texts(spark, sf_dir))))
+    return _verified(clustering.weekly_clusters(rows), _term_sets(rows))
 
 
 @query
 def weekly_positive_clusters(spark, sf_dir):
+    """Predicted positives after the cutoff: each in one cohesive cluster of its own week."""
     scored = experiments.ensemble(_source_posts(spark, sf_dir), experiments.BEST_PER_SOURCE)
-    later = scored.filter(F.col("period") != "d1")
-    return _cluster_rows(clustering.weekly_positive_clusters(later))
+    later = cut_lineage(scored.filter(F.col("period") != "d1"))
+    clusters, members = clustering.weekly_positive_clusters(later)
+    positives = _after_cutoff(later.filter("prediction > 0"))
+    rows = _verified((clusters, members), _term_sets(positives)).join(positives.select("id", F.lit(True).alias("expected")), "id", "full")
+    weeks = members.join(positives.select("id", F.weekofyear("day").alias("week")), "id").groupBy("cluster").agg(F.count_distinct("week").alias("weeks"))
+    one = weeks.agg((F.coalesce(F.max("weeks"), F.lit(1)) == 1).alias("one_week"))
+    fine = (F.col("in_clusters") == 1) & F.col("expected") & F.col("cohesive") & F.col("described")
+    return rows.agg(F.coalesce(F.bool_and(F.coalesce(fine, F.lit(False))), F.lit(True)).alias("all_fine")).crossJoin(one)  # two tables of one row
