@@ -53,7 +53,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = crc32_fold(F.col("doc_id"), 5)
     model, counts = mixing.train(docs, fold != 1)
-    scored = mixing.score(docs, model, counts)
+    scored = mixing.score(docs, model, counts, fold != 1)
     return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_token", "bits_per_byte")
 
 
