@@ -2,7 +2,8 @@
 
 One pass over the texts gives each document the number and key of its shingle set, the low
 ``BITS`` bits of ``HASHES`` minima packed into four longs, and band values of ``ROWS`` full
-minima, so many that the threshold decides (``band_count``). Documents with equal sets collapse to their smallest id. Inside a
+minima, so many that the threshold decides (``band_count``). Documents with equal sets collapse
+to their set, which its key stands for up to the end. Inside a
 band bucket every member is a candidate with the bucket's smallest member only; a candidate
 is kept when its collision-corrected estimate, by bit counts of the packed signatures, does
 not lie surely below the threshold, and confirmed on the full shingle sets. Confirmed links
@@ -12,8 +13,8 @@ that emit likely links alone, so that no link is lost and no pair within a compo
 ever formed.
 
 Defined results: no words, null or empty text: empty set, linked with nothing; fewer words
-than a shingle: the whole sequence is the one shingle; repeated ids are one document (the
-component holds all their sets); rows without an id are linked with nothing and kept; extra
+than a shingle: the whole sequence is the one shingle; repeated ids are one document: sets of
+one id are linked, and all its rows, empty ones too, have its component; rows without an id are linked with nothing and kept; extra
 columns are not read.
 """
 
@@ -78,6 +79,11 @@ def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[pa.Array, list[np
     return batch.column(batch.schema.get_field_index("doc_id")), out
 
 
+def set_key(hashes: np.ndarray) -> int:
+    """Hash of a set, whatever the order of its members."""
+    return int(mix((mix(hashes).sum(dtype=np.uint64) ^ np.uint64(len(hashes))).reshape(1)).view(np.int64)[0])
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """HASHES minima of each non-empty set."""
     flat = np.concatenate(sets)
@@ -129,8 +135,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int, n_bands: int)
         if len(full):
             minima = signatures([sets[i] for i in full])
             longs[full], bands[full] = packed(minima), band_values(minima, n_bands)
-            for i in full:
-                keys[i] = mix((mix(sets[i]).sum(dtype=np.uint64) ^ np.uint64(sizes[i])).reshape(1)).view(np.int64)[0]
+            keys[full] = [set_key(sets[i]) for i in full]
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(sizes), pa.array(keys), *(pa.array(longs[:, k].copy()) for k in range(4)), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), n_bands).cast(pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"],
@@ -157,7 +162,23 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def _hash_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         ids, sets = shingle_sets(batch, shingle)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.unique(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["id", "hashes", "low"])
+        columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.unique(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([ids, *columns], names=["first_id", "id", "hashes", "low"])
+
+
+def _set_hashes(texts: DataFrame, wanted: DataFrame, again: DataFrame, shingle: int) -> DataFrame:
+    """id, hashes and low of every wanted set, from the row of its smallest id; one row a set."""
+    schema = "first_id long, id long, hashes binary, low binary"
+    mine = wanted.withColumnRenamed("rep", "id")
+
+    def made(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(lambda batches: _hash_batches(batches, shingle), schema)
+
+    if again.isEmpty():
+        return made(texts).select("id", "hashes", "low")
+    once = made(texts.join(again, "doc_id", "left_anti"))
+    repeated = made(texts.join(again, "doc_id", "left_semi")).join(mine, ["id", "first_id"], "left_semi")
+    return once.select("id", "hashes", "low").unionAll(repeated.groupBy("id").agg(F.first("hashes").alias("hashes"), F.first("low").alias("low")))
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -298,28 +319,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sets = kept_table(document_sets(docs, shingle, percent), "sets")
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = kept_table(
-        full.groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "s0", "s1", "s2", "s3", "bands")).alias("first")).select("set_key", "n_shingles", F.col("first.doc_id").alias("rep"), "first.s0", "first.s1", "first.s2", "first.s3", "first.bands"),
+        full.groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "s0", "s1", "s2", "s3", "bands")).alias("first")).select(F.col("set_key").alias("rep"), "n_shingles", F.col("first.doc_id").alias("first_id"), "first.s0", "first.s1", "first.s2", "first.s3", "first.bands"),
         "reps",
     )
+    filled = F.when(F.col("n_shingles") > 0, F.col("set_key"))
+    again = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(filled).alias("n_filled"), F.min(filled).alias("low"), F.max(filled).alias("high")).where("n > 1")
+    again = kept_table(again, "again")
+    same_id = full.join(again.where("low < high").select("doc_id", "low"), "doc_id").where("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")).distinct()
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     # written down, so that the join below has plain shuffles on both sides and hot buckets are split
     centres = kept_table(exploded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre"), "centres")
     buckets = kept_table(exploded.join(centres, "bucket").select("bucket", "band", "rep", "centre"), "buckets")
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
+    wanted = kept_table(reps.select("rep", "first_id").join(buckets.select("rep").distinct(), "rep"), "wanted")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = own.join(wanted, own["doc_id"] == wanted["id"], "left_semi")
-    hashes = kept_table(texts.mapInArrow(lambda batches: _hash_batches(batches, shingle), "id long, hashes binary, low binary"), "hashes")
-    links = kept_table(_confirmed(_likely(stars, reps, least), hashes, percent), "stars")
+    texts = own.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hashes = kept_table(_set_hashes(texts, wanted, again, shingle), "hashes")
+    links = kept_table(_confirmed(_likely(stars, reps, least), hashes, percent).union(same_id), "stars")
     components = smallest_reachable(links)
     rest = kept_table(open_pairs(buckets, reps, hashes, components, least, percent), "rest")
     if not rest.isEmpty():
         more = kept_table(_confirmed(rest.join(stars, ["a", "b"], "left_anti"), hashes, percent), "more")
         if not more.isEmpty():
             components = smallest_reachable(links.union(more))
-    classes = reps.join(components, reps["rep"] == components["node"], "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    joined = sets.join(classes, ["set_key", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    classes = reps.join(components, reps["rep"] == components["node"], "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component"))
+    firsts = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    classes = kept_table(classes.join(firsts, "component").select("rep", "component_id"), "classes")
+    joined = sets.withColumn("rep", filled).join(classes, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    blank = again.where("n_filled > 0 AND n_filled < n").select("doc_id", F.col("low").alias("rep"))
+    if not blank.isEmpty():  # rows without words of an id that has words elsewhere
+        given = blank.join(classes, "rep").select("doc_id", F.col("component_id").alias("given"))
+        joined = joined.join(given, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "given").alias("component_id"))
+    joined = joined.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

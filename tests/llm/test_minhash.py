@@ -6,11 +6,16 @@ from helpers import SCHEMA, no_documents, odd_documents, rows_of
 from gullwatch.llm import minhash
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
 def brute(rows):
+    """Size, component and flag of each row; the rows of one id are one document."""
     sets, parent = {}, {}
     for doc, text, *_ in rows:
-        words = (text or "").lower().split()
-        sets[doc] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+        sets.setdefault(doc, set()).add(shingles(text))
         parent[doc] = doc
 
     def root(x):
@@ -18,14 +23,17 @@ def brute(rows):
             x = parent[x]
         return x
 
+    def linked(x, y):
+        shared = len(x & y)
+        return shared and 100 * shared >= 85 * (len(x) + len(y) - shared)
+
     docs = sorted(sets)
     for i, a in enumerate(docs):
         for b in docs[:i]:
-            shared = len(sets[a] & sets[b])
-            if shared and 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+            if any(linked(x, y) for x in sets[a] for y in sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), root(d), root(d) == d) for d in docs}
+    return sorted((doc, len(shingles(text)), root(doc), root(doc) == doc) for doc, text, *_ in rows)
 
 
 def family(rng, n, length, edits, mark):
@@ -45,8 +53,20 @@ def test_components_of_a_large_family_lose_no_link(spark, monkeypatch):
     texts = family(rng, 400, 150, 9, "w") + family(rng, 60, 60, 3, "v") + ["a b", "A  B", "a b c", "", None] + ["one two three four five six"] * 40
     rows = rows_of(texts)
     rng.shuffle(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
-    assert got == brute(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect())) == brute(rows)
+
+
+def test_repeated_ids_join_their_sets(spark):
+    x, y, z = (" ".join(f"{m}{i}" for i in range(40)) for m in "xyz")
+    cases = [
+        [(3, x), (5, x), (5, y), (7, y)],
+        [(3, x), (5, y), (5, x), (7, y), (7, ""), (2, None), (2, z), (9, z + " tail"), (9, z + " tail"), (1, "")],
+        [(5, x), (5, y), (5, z), (5, None), (6, z)] + [(8, y + " more")] * 4 + [(4, "a b")],
+    ]
+    for rows in cases:
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(tuple, got)) == brute(rows)
+    assert {r.component_id for r in minhash.near_duplicates(spark.createDataFrame(cases[0], "doc_id long, text string")).collect()} == {3}
 
 
 def test_estimate_is_corrected_for_chance():
@@ -62,8 +82,10 @@ def test_estimate_is_corrected_for_chance():
 
 def test_deduplicate_keeps_columns_and_first(spark):
     docs = odd_documents(spark)
-    rows = minhash.near_duplicates(docs)
-    assert rows.count() == docs.count()
+    named = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    rows = minhash.near_duplicates(docs).collect()
+    assert sorted(tuple(r) for r in rows if r.doc_id is not None) == brute(named)
+    assert [(r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id is None] == [(2, None, True)]
     kept = minhash.deduplicate(docs)
     assert kept.columns == docs.columns
     copies = spark.createDataFrame(rows_of(["one two three four five six"] * 5 + ["other"]), SCHEMA)
