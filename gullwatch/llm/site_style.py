@@ -5,16 +5,19 @@ its place is the path of styles from the root. The pages of one host are laid ov
 other by place. A place has two kinds of evidence over the pages that hold it: the
 sequences of child styles (presentation) and the texts of the blocks in it or below it
 (content). Both are judged by entropy with the number of pages as base: layouts that vary
-and texts that occur on few pages are important, what every page repeats is not. Places of
-low importance are removed from each page with all below them. Places are counted by host, path and feature, with partial
-sums before each shuffle, so that one large site is no large task.
-
-Tags and names that say what an element is (menus, footers, forms, comments ...) count as
-importance 0, and an article or main element as important; within it only elements with a
-name of their own are judged by the site's tree, so that copies of one article on a small
-site are not taken for a template. Below ``LEAST_PAGES`` pages a place is judged by its
-name alone. A page with an article or main element that holds text gives that text, any
-other page the rest of its body.
+and texts that occur on few pages are important, what every page repeats is not. Pages of a
+host with one longest block count once, so that copies of an article are not taken for a
+template. Places of low importance are removed from each page with all below them, inside
+an article and without a name too; so is a block whose text almost every page of the host
+has at its place (``REPEATED``).
+
+Tags and names that say what an element is (menus, footers, forms, comments ...), and a
+place beside an article that holds most of its page, lower the importance of a place by a
+factor; a place that holds half of its pages' text keeps its own. Neither removes anything
+by itself: the factor is a mean over the pages of the site, and what varies and holds the
+text stays whatever its name. Below ``LEAST_PAGES`` pages a place counts as important but for
+that factor. Places are counted by host, path and feature, with partial sums before each
+shuffle, so that one large site is no large task.
 
 Defined results: null or empty html gives the empty text; null urls are one host of their
 own; repeated rows are extracted one by one; broken markup is read as browsers do in the
@@ -34,8 +37,16 @@ from pyspark.sql import functions as F
 
 from gullwatch.llm.common import kept_table, pieces
 
-#: Places with less importance go, if at least so many pages of the host hold them.
-THRESHOLD, LEAST_PAGES = 0.35, 4
+#: Places with less importance go, inside an article or main element those with less than the second one.
+THRESHOLD, IN_MAIN = 0.35, 0.15
+#: Pages of the host from which on a place is judged by entropy.
+LEAST_PAGES = 4
+#: Factors of a place that its tag or its names tell apart, and of one beside an article that holds most of its page.
+BY_TAG, BY_NAME, BESIDE = 0.2, 0.3, 0.3
+#: Share of its pages' text from which on a place keeps its importance.
+BULK = 0.5
+#: A block goes whose text so large a share of the pages has at its place, of so many pages.
+REPEATED, REPEATED_PAGES = 0.9, 8
 #: Share of a place's importance that its texts give, those of the places below it included.
 BELOW = 0.75
 #: Removed places that are broadcast; more are joined by host.
@@ -50,7 +61,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("li dt dd td th tr tbody thead tfoot caption legend summary figcaption body html".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 MAIN = frozenset(("article", "main"))
-WHOLE = MAIN | {"#", "html", "body"}
+WHOLE = frozenset(("#", "html", "body"))
 OTHER = frozenset("nav footer header aside form menu dialog button head".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notice|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|disqus|replies|share|social|related|newsletter|subscribe|signup|login|pagination|pager|skip|widget)(?:$|[\s_-])"
@@ -64,14 +75,14 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Element:
-    __slots__ = ("children", "main", "name", "other", "place", "style", "tag")
+    __slots__ = ("children", "factor", "main", "place", "style", "tag")
 
     def __init__(self, tag: str, names: str, above: Element | None):
-        self.tag, self.name = tag, names
+        self.tag = tag
         self.style = f"{tag} {names}" if names else tag
         self.place = xxhash.xxh3_64_intdigest(self.style, above.place if above else 0)
         self.main = tag in MAIN or bool(above and above.main)
-        self.other = tag in OTHER or bool(names and NAMES.search(names))
+        self.factor = BY_TAG if tag in OTHER else BY_NAME if names and NAMES.search(names) else 1.0
         self.children: list[Element] = []
 
 
@@ -141,64 +152,116 @@ class Page:
                 return
 
     def main_text(self, removed: frozenset[int] | set[int]) -> str:
-        kept, in_main = [], []
+        """Blocks of which no place, nor the block itself, is removed."""
+        return "\n".join(text for owner, text in self.blocks if not any(e.place in removed for e in owner) and (not removed or block_key(owner[-1].place, text) not in removed))
+
+    def weights(self) -> dict[int, tuple[float, float]]:
+        """Share of the page's text and factor of every place."""
+        total = sum(len(text) for _, text in self.blocks) or 1
+        share: dict[int, float] = {}
+        holds, main = set(), 0
         for owner, text in self.blocks:
-            main = owner[-1].main
-            judged = [e for e in owner if e.main] if main else owner
-            if any(e.other for e in judged) or any(e.place in removed for e in judged if e.tag not in WHOLE and (not main or e.name)):
-                continue
-            kept.append(text)
-            if main:
-                in_main.append(text)
-        return "\n".join(in_main or kept)
+            for place in {e.place for e in owner}:
+                share[place] = share.get(place, 0.0) + len(text) / total
+            if owner[-1].main:
+                main += len(text)
+                holds.update(e.place for e in owner)
+        ruled = main / total >= BULK
+        out, todo = {}, [self.root]
+        while todo:
+            e = todo.pop()
+            beside = BESIDE if ruled and not e.main and e.place not in holds else 1.0
+            if e.tag not in WHOLE:  # the page itself is not judged
+                out[e.place] = (share.get(e.place, 0.0), min(e.factor, beside))
+            todo += e.children
+        return out
+
+    def subject(self) -> int:
+        """Hash of the longest block, which copies of an article share."""
+        return xxhash.xxh3_64_intdigest(max((text for _, text in self.blocks), key=lambda t: (len(t), t), default=""))
+
+
+def block_key(place: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text, place)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Kinds of evidence: child styles, a block's text in or below the place, the place itself, a block at its place.
+LAYOUT, TEXT, PLACE, BLOCK = range(4)
+_EVIDENCE = "host string, place long, kind int, feature long, subject long, share float, factor float, main boolean"
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each place and feature of a page: kind 0 child styles, kind 1 a block's text."""
+    """One row for each place and feature of a page."""
     for batch in pieces(batches, "html"):
-        rows: set | list = []
+        rows: list = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = set()
             page = Page(source or "")
+            subject = _signed(page.subject())
             todo = [page.root]
+            main = {}
             while todo:
                 e = todo.pop()
-                own.add((host, _signed(e.place), 0, _signed(xxhash.xxh3_64_intdigest("|".join(c.style for c in e.children)))))
+                main[e.place] = e.main
+                own.add((e.place, LAYOUT, _signed(xxhash.xxh3_64_intdigest("|".join(c.style for c in e.children)))))
                 todo += e.children
             for owner, text in page.blocks:
                 feature = _signed(xxhash.xxh3_64_intdigest(text))
-                own.update((host, _signed(e.place), 1, feature) for e in owner)
-            rows += own
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["host", "place", "kind", "feature"])
+                own.update((e.place, TEXT, feature) for e in owner)
+                own.add((owner[-1].place, BLOCK, _signed(block_key(owner[-1].place, text))))
+            rows += [(host, _signed(place), kind, feature, subject, None, None, None) for place, kind, feature in own]
+            rows += [(host, _signed(place), PLACE, 0, subject, share, factor, main[place]) for place, (share, factor) in page.weights().items()]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float32(), pa.float32(), pa.bool_())
+        names = ["host", "place", "kind", "feature", "subject", "share", "factor", "main"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def importances(pages: DataFrame) -> DataFrame:
-    """host, place, pages and importance of every place of every host's style tree."""
+def feature_counts(pages: DataFrame) -> DataFrame:
+    """Pages of different subjects that have a feature at a place of their host."""
     own = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    counts = own.mapInArrow(_evidence, "host string, place long, kind int, feature long").groupBy("host", "place", "kind", "feature").agg(F.count("*").alias("c"))
-    layout = F.col("kind") == 0
-    sums = counts.groupBy("host", "place").agg(
-        F.sum(F.when(layout, F.col("c")).otherwise(0)).alias("pages"),
-        F.sum(F.when(layout, F.col("c") * F.log("c")).otherwise(0.0)).alias("layouts"),
-        F.sum(F.when(~layout, F.col("c")).otherwise(0)).alias("texts"),
-        F.sum(F.when(~layout, F.col("c") * F.log("c")).otherwise(0.0)).alias("repeats"),
-    )
+    once = own.mapInArrow(_evidence, _EVIDENCE).groupBy("host", "place", "kind", "feature", "subject").agg(F.max("share").alias("share"), F.max("factor").alias("factor"), F.bool_or("main").alias("main"))
+    return once.groupBy("host", "place", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.sum("share").alias("share"), F.sum("factor").alias("factor"), F.bool_or("main").alias("main"))
+
+
+def importances(counts: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, place, pages, entropy, importance and main of every place of every host's style tree."""
+
+    def of(kind: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
+
+    c = F.col("c").cast("double")
+    sums = counts.where(F.col("kind") != BLOCK).groupBy("host", "place").agg(
+        of(PLACE, c).alias("pages"), of(PLACE, F.col("share")).alias("share"), of(PLACE, F.col("factor")).alias("factor"), F.bool_or("main").alias("main"),
+        of(LAYOUT, c).alias("layouts"), of(LAYOUT, c * F.log(c)).alias("layout_logs"), of(TEXT, c).alias("texts"), of(TEXT, c * F.log(c)).alias("text_logs"),
+    ).where("pages > 0")
     base = F.log("pages")
-    one = F.col("pages") <= 1
-    # entropy of child styles, sum of -p log p with p = c / pages; 1 less mean log of a text's pages
-    presentation = F.when(one, 1.0).otherwise(1 - F.col("layouts") / (F.col("pages") * base))
-    content = F.when(one | (F.col("texts") == 0), F.when(F.col("texts") == 0, F.lit(None)).otherwise(1.0)).otherwise(1 - F.least(F.lit(1.0), F.col("repeats") / (F.col("texts") * base)))
-    importance = F.when(content.isNull(), presentation).otherwise((1 - BELOW) * presentation + BELOW * content)
-    return sums.select("host", "place", "pages", importance.alias("importance"))
+
+    def spread(total: Column, logs: Column) -> Column:
+        """1 less the mean log of a feature's pages, on the scale of all pages."""
+        return 1 - F.least(F.lit(1.0), F.coalesce(F.try_divide(logs, total * base), F.lit(0.0)))
+
+    presentation = spread(F.col("layouts"), F.col("layout_logs"))
+    content = F.when(F.col("texts") > 0, spread(F.col("texts"), F.col("text_logs")))
+    entropy = F.when(content.isNull(), presentation).otherwise((1 - BELOW) * presentation + BELOW * content)
+    judged = F.when((F.col("pages") >= least_pages) & (F.col("pages") > 1), entropy).otherwise(1.0)
+    lowered = F.when(F.col("share") / F.col("pages") >= BULK, 1.0).otherwise(F.col("factor") / F.col("pages"))
+    return sums.select("host", "place", F.col("pages").cast("long").alias("pages"), judged.alias("entropy"), (judged * lowered).alias("importance"), "main")
+
+
+def removals(counts: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and key of every place and block that goes."""
+    judged = importances(counts, least_pages)
+    places = judged.where(F.col("importance") < F.when(F.col("main"), F.lit(min(threshold, IN_MAIN))).otherwise(F.lit(threshold))).select("host", F.col("place").alias("key"))
+    blocks = counts.where(F.col("kind") == BLOCK).select("host", "place", "feature", "c").join(judged.where(F.col("pages") >= REPEATED_PAGES).select("host", "place", "pages"), ["host", "place"])
+    return places.unionAll(blocks.where(F.col("c") >= REPEATED * F.col("pages")).select("host", F.col("feature").alias("key")))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
@@ -215,15 +278,15 @@ def _extract(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatc
 def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES, max_places: int = MAX_PLACES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     spark = pages.sparkSession
-    removed = kept_table(importances(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", "place"), "removed")
+    removed = kept_table(removals(kept_table(feature_counts(pages), "places"), threshold, least_pages), "removed")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     schema = "page_id long, url string, text string, n_chars long"
     rows = removed.limit(max_places + 1).collect()
     if len(rows) <= max_places:
         by_host: dict[str, set[int]] = {}
         for r in rows:
-            by_host.setdefault(r.host, set()).add(r.place)
+            by_host.setdefault(r.host, set()).add(r.key)
         table = spark.sparkContext.broadcast(by_host)
         return own.mapInArrow(lambda b: _extract(b, table), schema)
-    lists = removed.groupBy("host").agg(F.collect_set("place").alias("removed"))
+    lists = removed.groupBy("host").agg(F.collect_set("key").alias("removed"))
     return own.join(lists, "host", "left").mapInArrow(lambda b: _extract(b, None), schema)
