@@ -7,9 +7,12 @@ learned with them. Forward-backward gives the probability of each label at each
 code-switched text is labelled word by word; a text's language is the label with the
 largest expected share of words, and its score is that share.
 
-Training sees at most ``ROWS_PER_LABEL`` labelled rows of each label (those with the
-smallest hashes of their ids) and ``WORDS_PER_ROW`` words of each. Their pieces are
-joined to chains that switch language, so that transitions are learned from switches too.
+Training sees a sample of labelled rows: at most ``ROWS_PER_LABEL`` of each of the
+``MOST_LABELS`` most frequent labels, those with the smallest hashes of their ids, one text
+an id. Of a text over ``WINDOWS`` times ``WINDOW_CHARS`` characters it sees as many windows,
+spread evenly from its start to its end. They are cut in the tasks, so the driver holds
+bounded text. The pieces are joined to chains that switch language, so that transitions are
+learned from switches too; a last chain is filled up from the first words.
 
 Forward-backward works in blocks of ``BLOCK`` words: a block's product of step matrices is
 formed for all blocks of a slice at once, the products are chained along each text, and
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from gullwatch.llm.common import mix, pieces, range_hashes, utf8, word_bounds
 
-ROWS_PER_LABEL, WORDS_PER_ROW = 300, 600
+ROWS_PER_LABEL, MOST_LABELS = 300, 256
+WINDOWS, WINDOW_CHARS = 24, 240
 #: Hashed feature slots, lengths of affixes, lengths of n-grams.
 SLOTS, AFFIXES, GRAMS = 1 << 18, (1, 2, 3, 4), (1, 2, 3)
 EPOCHS, BATCH, CHAIN, RATE, DECAY = 4, 256, 96, 0.3, 1e-5
@@ -155,8 +159,9 @@ def _chains(words: list[np.ndarray], labels: np.ndarray, rng: np.random.RandomSt
     order = rng.permutation(len(parts))
     ids = np.concatenate([parts[i] for i in order])
     gold = np.concatenate([np.full(len(parts[i]), marks[i]) for i in order])
-    full = len(ids) // CHAIN * CHAIN or len(ids)
-    return ids[:full].reshape(-1, min(CHAIN, full)), gold[:full].reshape(-1, min(CHAIN, full))
+    size = min(CHAIN, len(ids))
+    fill = np.arange(-(-len(ids) // size) * size) % len(ids)
+    return ids[fill].reshape(-1, size), gold[fill].reshape(-1, size)
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
@@ -169,7 +174,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     if k < 2 or not len(starts):
         return model
     own, a, b, of = distinct_words(data, starts, ends)
-    rows = [of[x:y][:WORDS_PER_ROW] for x, y in zip(first[:-1], first[1:])]
+    rows = [of[x:y] for x, y in zip(first[:-1], first[1:])]
     word, slot = (np.concatenate(x) for x in zip(*features(own, a, b)))
     order = np.argsort(word, kind="stable")
     word, slot = word[order], slot[order]
@@ -228,14 +233,36 @@ def _gradient(scores: np.ndarray, steps: np.ndarray, truth: np.ndarray) -> tuple
 def train(docs: DataFrame, learn: Column) -> Model:
     """Fit on the bounded sample of rows with a label where ``learn`` holds."""
     docs = docs.where(learn).select("doc_id", "lang", "text")
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    frequent = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS)
+    labels = [r.lang for r in frequent.collect()]  # at most MOST_LABELS
+    own = docs.where(F.col("lang").isin(labels)).select("doc_id", "lang")
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # the rank limit is applied before the shuffle, so a label sends few rows from each task
     chosen = own.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= ROWS_PER_LABEL).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    texts = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang")))
-    rows = texts.select("_id", "_lang", F.col("text").alias("_text")).collect()
-    rows = sorted(rows, key=lambda r: (r._lang, r._id, r._text))
-    return fit([r._text for r in rows], [r._lang for r in rows])
+    texts = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["lang"] == F.col("_lang"))).select("doc_id", "lang", "text")
+    cut = texts.mapInArrow(_window_batches, "doc_id long, lang string, text string")
+    once = cut.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # bounded texts, one an id
+    rows = sorted(once.collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0))
+    return fit([r.text for r in rows], [r.lang for r in rows])
+
+
+def windows(text: str) -> str:
+    """The text, or windows of it without the words that their ends cut."""
+    if len(text) <= WINDOWS * WINDOW_CHARS:
+        return text
+    starts = [i * (len(text) - WINDOW_CHARS) // (WINDOWS - 1) for i in range(WINDOWS)]
+    parts = []
+    for a in starts:
+        own = text[a : a + WINDOW_CHARS]
+        words = own.split()
+        parts.append(" ".join(words[1:-1]) if len(words) > 2 else own)
+    return " ".join(parts)
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([windows(t) for t in batch.column(2).to_pylist()], pa.string())], names=["doc_id", "lang", "text"])
 
 
 def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float]]:

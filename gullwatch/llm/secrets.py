@@ -52,6 +52,9 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
+#: Entries of an array that are gone through one by one.
+TILE = 128
+
 _LEDGER = "blob binary, rule string, version int, spans array<struct<start:int,stop:int>>"
 _SPAN = "array<struct<start:int,stop:int>>"
 
@@ -60,25 +63,54 @@ def blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
 
+def _tiles(n: Column) -> Column:
+    """0, 1, ... for every ``TILE`` of n entries."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(n / TILE).cast("int"), F.lit(1)) - 1)
+
+
+def _tile(values: Column, k: Column) -> Column:
+    return F.slice(values, k * TILE + 1, F.lit(TILE))
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
-    """Spans of one rule in a text; an empty array without looking further where nothing matches."""
+    """Spans of one rule in a text; an empty array without looking further where nothing matches.
+
+    Positions add up in tiles: first the lengths of whole tiles, then the entries of each
+    from where it starts, so that no array grows entry by entry.
+    """
     pattern = F.lit(rule.pattern)
     pieces = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("whole"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.coalesce(F.length(piece["whole"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("stop"))
-        # the last piece has a gap only
-        kept = F.length(piece["value"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(kept, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def length(piece: Column) -> Column:  # the last piece has a gap only
+        return piece["gap"] + F.coalesce(piece["whole"], F.lit(0))
+
+    def in_tile(start: Column, own: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            begin, end = state["at"] + piece["gap"], state["at"] + length(piece)
+            span = F.struct(begin.alias("start"), end.alias("stop"))
+            return F.struct(end.alias("at"), F.when(piece["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+        return F.aggregate(own, F.struct(start.alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda state: state["spans"])
+
+    def found(p: Column) -> Column:
+        sums = F.transform(_tiles(F.size(p)), lambda k: F.aggregate(_tile(p, k), F.lit(0), lambda s, x: s + length(x)))
+
+        def tiled(s: Column) -> Column:
+            before = lambda k: F.aggregate(F.slice(s, F.lit(1), k), F.lit(0), lambda t, x: t + x)
+            return F.flatten(F.transform(_tiles(F.size(p)), lambda k: in_tile(before(k), _tile(p, k))))
+
+        return _once(sums, tiled)
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, start, step, lambda state: state["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(rule.pattern), _once(pieces, found)).otherwise(F.array().cast(_SPAN))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made a single time."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -143,20 +175,42 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     )
 
 
+def _masked(raw: Column, spans: Column, mask: Column) -> Column:
+    """The text with the union of the spans masked, one mask for each run of spans that overlap."""
+
+    def farthest(own: Column, first: Column) -> Column:
+        return F.aggregate(own, first, lambda s, x: F.greatest(s, x["stop"]))
+
+    def bounds(k: Column, start: Column) -> Column:
+        """Where each span of a tile begins and how far the ones before it reach."""
+        zero = F.struct(start.alias("reach"), F.array().cast("array<struct<start:int,reach:int>>").alias("out"))
+        step = lambda s, x: F.struct(F.greatest(s["reach"], x["stop"]).alias("reach"), F.concat(s["out"], F.array(F.struct(x["start"].alias("start"), s["reach"].alias("reach")))).alias("out"))
+        return F.aggregate(_tile(spans, k), zero, step, lambda s: s["out"])
+
+    def piece(a: Column, b: Column) -> Column:
+        return F.decode(F.substring(raw, a * 4 + 1, (b - a) * 4), "UTF-32")
+
+    def joined(reaches: Column) -> Column:
+        before = lambda k: F.array_max(F.concat(F.array(F.lit(0)), F.slice(reaches, F.lit(1), k)))
+        all_bounds = F.flatten(F.transform(_tiles(F.size(spans)), lambda k: bounds(k, before(k))))
+        fresh = F.filter(all_bounds, lambda x: x["start"] >= x["reach"])
+        heads = F.transform(fresh, lambda x: F.concat(piece(x["reach"], x["start"]), mask))
+        last = F.array_max(reaches)
+        return F.concat(F.array_join(heads, ""), piece(last, (F.octet_length(raw) / 4).cast("int")))
+
+    return _once(F.transform(_tiles(F.size(spans)), lambda k: farthest(_tile(spans, k), F.lit(0))), joined)
+
+
 def redact(docs: DataFrame, ledger: str, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``mask`` and ``n_chars``, if there, counted anew."""
     update_ledger(docs, ledger, rules)
     found = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias("__redact_blob"), F.col("spans").alias("__redact_spans"))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(x: Column, s: Column) -> Column:
-        fresh = s["start"] >= x["at"]
-        before = F.when(fresh, F.concat(F.substring(F.col("text"), x["at"] + 1, s["start"] - x["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(s["stop"], x["at"]).alias("at"), F.concat(x["out"], before).alias("out"))
+    def clean(text: Column) -> Column:
+        # four bytes a code point: any piece is cut out without reading what lies before it
+        return _once(F.struct(F.encode(text, "UTF-32").alias("raw"), F.col("__redact_spans").alias("spans")), lambda x: _masked(x["raw"], x["spans"], F.lit(mask)))
 
-    clean = F.aggregate("__redact_spans", state, step, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.length("text"))))
     joined = docs.withColumn("__redact_hash", blob(F.col("text"))).join(found, F.col("__redact_hash") == F.col("__redact_blob"), "left")
-    text = F.when(F.col("__redact_spans").isNull(), F.col("text")).otherwise(clean)
+    text = F.when(F.col("__redact_spans").isNull(), F.col("text")).otherwise(clean(F.col("text")))
     # behind a generator the masked text is made once, for itself and for its length
     made = joined.select("*", F.explode(F.array(text)).alias("__redact_text"))
     columns = []

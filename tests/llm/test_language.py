@@ -55,6 +55,32 @@ def test_held_out_accuracy(spark):
     assert language.accept(docs, model, 0.3).count() == len(rows)
 
 
+def test_training_sees_a_long_text_from_start_to_end(spark):
+    rng = random.Random(6)
+    lead, tail = (" ".join(rng.choice(w) for _ in range(3000)) for w in (EN, DE))
+    text = language.windows(lead + " " + tail)
+    own = text.split()
+    assert len(text) <= language.WINDOWS * (language.WINDOW_CHARS + 1) and 0.3 < sum(w in EN for w in own) / len(own) < 0.7
+    assert set(own) <= set(EN) | set(DE) and language.windows("short text") == "short text"
+    # what tells the second language apart stands behind the old bound of 600 words
+    other = "quux zorp blat".split()
+    long = [" ".join(rng.choice(EN) for _ in range(900)) + " " + " ".join(rng.choice(other) for _ in range(9000)) for _ in range(12)]
+    rows = [(i, t, "xx", "s", len(t)) for i, t in enumerate(long)] + [(100 + i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(sample(30))]
+    model = language.train(spark.createDataFrame(rows, SCHEMA), F.lit(True))
+    assert language.label_texts([" ".join(rng.choice(other) for _ in range(30))], model)[0][0] == "xx"
+
+
+def test_chains_lose_no_word():
+    words = [np.arange(50), np.arange(50, 270), np.arange(270, 275)]
+    ids, gold = language._chains(words, np.array([0, 1, 2]), np.random.RandomState(1))
+    assert set(ids.reshape(-1)) == set(range(275)) and ids.shape == gold.shape == (3, language.CHAIN)
+
+
+def test_one_text_of_a_repeated_id(spark):
+    rows = [(1, f"the house of water {i}", "en", "s", 1) for i in range(50)] + [(2, "der die und nicht", "de", "s", 1)]
+    assert language.train(spark.createDataFrame(rows, SCHEMA), F.lit(True)).labels == ["de", "en"]
+
+
 def test_odd_rows(spark):
     model = language.fit(*map(list, zip(*sample(10))))
     docs = odd_documents(spark)

@@ -70,10 +70,43 @@ def test_redact(spark, tmp_path):
         assert got[i].text == want and got[i].n_chars == (None if want is None else len(want))
 
 
+def masked(text):
+    want, at = [], 0
+    for a, _, _, b in spans(text):
+        if a >= at:
+            want += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join([*want, text[at:]])
+
+
+def test_many_findings_in_one_text(spark, tmp_path):
+    """Work in proportion to the findings: this text of 20,000 did not end when arrays grew one by one."""
+    text = "".join(f"é😀 token=abcdefgh{i % 7} " + ("secret:" + "0af" * 12 + " " if i % 3 == 0 else "") for i in range(15_000))
+    docs = spark.createDataFrame(rows_of([text, "none"]), SCHEMA)
+    (r,) = secrets.scan(docs, str(tmp_path / "a")).where("doc_id = 0").collect()
+    want = spans(text)
+    assert r.n_assign == sum(s[1] == 0 for s in want) == 20_000 and r.n_hex == 5_000
+    assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+    got = {r.doc_id: r.text for r in secrets.redact(docs, str(tmp_path / "b")).collect()}
+    assert got == {0: masked(text), 1: "none"}
+
+
+def test_tiles_of_any_size_agree(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(rows_of([t * 9 for t in TEXTS if t] + ["token=" + "a" * 9]), SCHEMA)
+    results = []
+    for tile in (1, 2, 1000):
+        monkeypatch.setattr(secrets, "TILE", tile)
+        found = sorted(map(tuple, secrets.scan(docs, str(tmp_path / f"s{tile}")).collect()))
+        results.append((found, sorted((r.doc_id, r.text) for r in secrets.redact(docs, str(tmp_path / f"r{tile}")).collect())))
+    assert results[0] == results[1] == results[2]
+
+
 def test_odd_rows(spark, tmp_path):
     docs = odd_documents(spark)
-    assert secrets.scan(docs, str(tmp_path / "a")).count() == docs.count()
-    assert secrets.redact(docs, str(tmp_path / "b")).count() == docs.count()
+    rows = secrets.scan(docs, str(tmp_path / "a")).collect()
+    assert len(rows) == docs.count() and all(tuple(r)[1:4] == (0, 0, 0) and r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "", r.text is None)
+    assert sorted(secrets.redact(docs, str(tmp_path / "b")).collect(), key=key) == sorted(docs.collect(), key=key)
     assert secrets.scan(no_documents(spark), str(tmp_path / "c")).count() == 0
 
 
