@@ -1,9 +1,10 @@
 """Benchmark decontamination: a set of normalised test n-grams is scanned over training token windows.
 
-The windows of the benchmark are hashed. Up to ``MAX_WINDOWS`` of them are broadcast as one
-sorted array, each with its words, so that every hit is verified word by word in the task
-that found it. Beyond that bound the same windows are joined on their hash instead, with
-the candidate windows of the documents; the result is the same.
+The windows of the benchmark are hashed. Up to ``MAX_WINDOWS`` of them, of ``MAX_BYTES`` in all,
+are broadcast as one sorted array, each with its words, so that every hit is verified word by
+word in the task that found it. Beyond that a bitmap of fixed size of their hashes is
+broadcast: only document windows that it holds, the true ones and some by chance, are joined
+with the benchmark on hash and words; the result is the same.
 
 Defined results: a null or empty text has no words, is never hit and never an item; an item
 of fewer words than the window is one window of its own length; an item without an id is
@@ -25,9 +26,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from gullwatch.llm.common import LOWER, WORD_BYTES, gram_hashes, kept_table, long_column, pieces, range_hashes, utf8, word_bounds
 
-#: Words of a window, and the most benchmark windows that are broadcast (8 bytes and its words each).
+#: Words of a window, and the most benchmark windows that are broadcast, and bytes of their words.
 WINDOW = 10
-MAX_WINDOWS = 200_000
+MAX_WINDOWS, MAX_BYTES = 200_000, 64 << 20
+#: Bits of the bitmap that stands for more windows.
+BITMAP_BITS = 1 << 28
 
 _SCAN = "doc_id long, n_words long, spans binary, items array<long>"
 
@@ -121,9 +124,10 @@ def benchmark_windows(spark: SparkSession, benchmark: DataFrame, window: int, ma
         ),
         "windows",
     )
-    rows = windows.limit(max_windows + 1).collect()
-    if len(rows) > max_windows:
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("bytes")).first()
+    if size.n > max_windows or size.bytes > MAX_BYTES:
         return windows, None
+    rows = windows.collect()
     by_hash: dict = {}
     for r in rows:
         by_hash.setdefault((r.n, bytes(r.words)), []).append(r.item_id)
@@ -158,23 +162,45 @@ def scan_joined(taken: DataFrame, windows: DataFrame) -> DataFrame:
 
 def _joined_hits(taken: DataFrame, windows: DataFrame) -> DataFrame:
     """Each window of a document (by id and row key) that is a benchmark window, once for every item."""
+    return candidate_windows(taken, windows).join(windows, ["hash", "n", "words"])
+
+
+def candidate_windows(taken: DataFrame, windows: DataFrame) -> DataFrame:
+    """The document windows whose hash may be that of a benchmark window."""
     sizes = [r.n for r in windows.select("n").distinct().collect()]  # at most the window length
-    found = taken.mapInArrow(lambda batches: _document_windows(batches, sizes), "doc_id long, row_key long, j int, hash long, n int, words binary, a int, b int")
-    return found.join(windows, ["hash", "n", "words"])
+    bitmap = hash_bitmap(windows)
+    return taken.mapInArrow(lambda batches: _document_windows(batches, sizes, bitmap), "doc_id long, row_key long, j int, hash long, n int, words binary, a int, b int")
+
+
+def hash_bitmap(windows: DataFrame):
+    """A broadcast bit for every hash modulo ``BITMAP_BITS``, whatever the number of windows."""
+    bit = F.pmod(F.col("hash"), F.lit(BITMAP_BITS))
+    made = windows.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in made.toLocalIterator():  # BITMAP_BITS in all
+        at = (r.bucket - 1) * 4096
+        bitmap[at : at + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return windows.sparkSession.sparkContext.broadcast((BITMAP_BITS, bitmap))
+
+
+def _held(hashes: np.ndarray, bitmap) -> np.ndarray:
+    bits, own = bitmap.value
+    at = (hashes & np.uint64(bits - 1)).astype(np.int64)  # a power of two: the remainder of the signed number too
+    return (own[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def _row_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return range_hashes(data, at[:-1], at[1:]).view(np.int64)
 
 
-def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], bitmap) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         raw, at = utf8(batch.column(batch.schema.get_field_index("text")))
         data, keys = _normal(raw), _row_key(raw, at)
         starts, ends, first, row, _, grams = _windows(data, at, sizes)
         for n, grown in grams.items():
-            ok = np.flatnonzero(row[: len(grown)] == row[n - 1 : n - 1 + len(grown)])
+            ok = np.flatnonzero((row[: len(grown)] == row[n - 1 : n - 1 + len(grown)]) & _held(grown, bitmap))
             for part in np.array_split(ok, max(1, len(ok) // 20_000)):
                 words = [b" ".join(data[starts[j + k] : ends[j + k]].tobytes() for k in range(n)) for j in part]
                 own = row[part]

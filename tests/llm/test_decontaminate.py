@@ -52,10 +52,35 @@ def test_equals_brute_force_either_way(spark):
         assert {r.doc_id for r in kept.collect()} == {d for d, w in want.items() if not w[4]} and kept.columns == df.columns
 
 
+def test_large_benchmarks_shuffle_candidates_only(spark):
+    rng = random.Random(15)
+    items = [(i, babble(rng, 730, [f"w{k}" for k in range(900)])) for i in range(290)]
+    texts = [babble(rng, 400, [f"w{k}" for k in range(900)]) for _ in range(60)]
+    planted = [items[k][1].split()[100 + k : 125 + k] for k in range(8)]
+    texts += ["x " + " ".join(p) + " y" for p in planted] + [babble(rng, 30, ["a", "b"])]
+    docs, benchmark = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    windows, table = decontaminate.benchmark_windows(spark, benchmark, 10, decontaminate.MAX_WINDOWS)
+    assert table is None and windows.count() > 200_000
+    assert decontaminate.candidate_windows(docs.select("doc_id", "text"), windows).count() < 8 * 16 + 200  # of 24,000
+    got = {r.doc_id: r.n_hit for r in decontaminate.report(docs, benchmark).collect()}
+    assert got == {i: 25 if 60 <= i < 68 else 0 for i in range(len(texts))}
+
+
+def test_long_words_count_in_bytes(spark, monkeypatch):
+    docs, items, df, benchmark = tables(spark)
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", 50)
+    assert decontaminate.benchmark_windows(spark, benchmark, 10, decontaminate.MAX_WINDOWS)[1] is None
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(df, benchmark).collect()} == {d: w[1] for d, w in brute(docs, items).items()}
+
+
 def test_odd_rows(spark):
     _, _, _, benchmark = tables(spark)
     docs = odd_documents(spark)
-    assert decontaminate.report(docs, benchmark).count() == docs.count()
+    rows = decontaminate.report(docs, benchmark).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        texts = [x.text for x in docs.collect() if x.doc_id == r.doc_id]
+        assert r.n_words in {len(words(t)) for t in texts} and r.contaminated == (r.n_hit > 0) and (r.n_hit == 0) == (r.n_items == 0)
     assert decontaminate.report(no_documents(spark), benchmark).count() == 0
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
     assert {r.n_hit for r in decontaminate.report(docs, benchmark.limit(0)).collect()} == {0}
