@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from helpers import SCHEMA, rows_of
+from helpers import CLASHING, SCHEMA, no_documents, odd_documents, rows_of
 
 from gullwatch.llm import minhash, queries
 
@@ -31,6 +31,42 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in run.collect()} == last
 
 
+def written(spark, folder, docs, items=()):
+    docs.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_odd_rows(spark, tmp_path):
+    line = "the water of the house and the people there were with that in from have this"
+    more = [(40, line + " one", "en", None, None), (40, line + " one", "en", None, None), (41, line + " one", None, None, 3), (42, None, None, None, None), (None, line + " two", "en", None, None)]
+    odd = odd_documents(spark)
+    for name in odd.columns[5:]:
+        assert name in CLASHING
+    own = spark.createDataFrame(more, SCHEMA)
+    for name in CLASHING:
+        own = own.selectExpr("*", f"'x' AS {name}")
+    folder = written(spark, tmp_path, odd.unionByName(own), [(1, "word one two three four five"), (None, "x"), (2, None)])
+    docs = queries.read_table(spark, folder, "documents")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.kept_table(stage(spark, docs, folder), name)
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()]
+        assert set(docs.columns) == {*odd.columns}
+    assert all(text and any(c.isalpha() for c in text) for _, text in kept["language_id"])
+    ids = [i for i, _ in kept["minhash_near_dedup"] if i is not None]
+    assert len(ids) == len(set(ids)) and 40 in ids and 41 not in ids and 42 not in ids
+    # the null id keeps its rows but for the one that is a benchmark item
+    assert (None, line + " two") in kept["benchmark_decontamination"] and all("word one two" not in t for _, t in kept["benchmark_decontamination"])
+    assert sorted(map(str, kept["secret_scan"])) == sorted(map(str, kept["benchmark_decontamination"]))
+    packed = corpus_pipeline.pack(spark, docs, folder).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in kept["secret_scan"]}
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, no_documents(spark))).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
