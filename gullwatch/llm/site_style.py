@@ -189,46 +189,60 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Kinds of evidence: child styles, a block's text in or below the place, the place itself, a block at its place.
-LAYOUT, TEXT, PLACE, BLOCK = range(4)
-_EVIDENCE = "host string, place long, kind int, feature long, subject long, share float, factor float, main boolean"
+#: Kinds of evidence: child styles, a block's text in or below the place, the place itself.
+LAYOUT, TEXT, PLACE = range(3)
+#: Parts into which shares and factors are rounded where they travel.
+PARTS = 1 << 20
+_EVIDENCE = "host long, place long, kind int, feature long, subject long, value long"
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each place and feature of a page."""
+    """One row for each place and feature of a page; ``value`` packs share, factor and whether the place is in a main element."""
     for batch in pieces(batches, "html"):
         rows: list = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = set()
             page = Page(source or "")
             subject = _signed(page.subject())
-            todo = [page.root]
-            main = {}
+            todo, main = [page.root], {}
             while todo:
                 e = todo.pop()
                 main[e.place] = e.main
-                own.add((e.place, LAYOUT, _signed(xxhash.xxh3_64_intdigest("|".join(c.style for c in e.children)))))
+                if e.tag not in WHOLE:
+                    own.add((e.place, LAYOUT, _signed(xxhash.xxh3_64_intdigest("|".join(c.style for c in e.children)))))
                 todo += e.children
             for owner, text in page.blocks:
-                feature = _signed(xxhash.xxh3_64_intdigest(text))
-                own.update((e.place, TEXT, feature) for e in owner)
-                own.add((owner[-1].place, BLOCK, _signed(block_key(owner[-1].place, text))))
-            rows += [(host, _signed(place), kind, feature, subject, None, None, None) for place, kind, feature in own]
-            rows += [(host, _signed(place), PLACE, 0, subject, share, factor, main[place]) for place, (share, factor) in page.weights().items()]
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float32(), pa.float32(), pa.bool_())
-        names = ["host", "place", "kind", "feature", "subject", "share", "factor", "main"]
+                own.update((e.place, TEXT, _signed(block_key(e.place, text))) for e in owner if e.tag not in WHOLE)
+            rows += [(host, _signed(place), kind, feature, subject, 0) for place, kind, feature in own]
+            for place, (share, factor) in page.weights().items():
+                rows.append((host, _signed(place), PLACE, 0, subject, (round(share * PARTS) << 32) | (round(factor * PARTS) << 1) | main[place]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        names = ["host", "place", "kind", "feature", "subject", "value"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
+    """Hash of the host of a url."""
+    return F.xxhash64(F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("")))
 
 
 def feature_counts(pages: DataFrame) -> DataFrame:
-    """Pages of different subjects that have a feature at a place of their host."""
+    """Features by the number ``c`` of pages of different subjects that have them at a place of their host.
+
+    Features of one page are told apart no longer: a row stands for ``times`` of them.
+    """
     own = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    once = own.mapInArrow(_evidence, _EVIDENCE).groupBy("host", "place", "kind", "feature", "subject").agg(F.max("share").alias("share"), F.max("factor").alias("factor"), F.bool_or("main").alias("main"))
-    return once.groupBy("host", "place", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.sum("share").alias("share"), F.sum("factor").alias("factor"), F.bool_or("main").alias("main"))
+    keys = ["host", "place", "kind", "feature"]
+    # by subject first, so that a feature of many pages is spread and added up before it is dealt out
+    once = own.mapInArrow(_evidence, _EVIDENCE).groupBy(*keys, "subject").agg(F.max("value").alias("value"))
+    counts = once.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("c"),
+        F.sum(F.shiftright("value", 32)).alias("share"),
+        F.sum(F.shiftright("value", 1).bitwiseAND(F.lit((1 << 31) - 1))).alias("factor"),
+        F.max(F.col("value").bitwiseAND(F.lit(1))).alias("main"),
+    )
+    told = F.when(F.col("c") > 1, F.col("feature"))
+    return counts.groupBy("host", "place", "kind", told.alias("feature"), "c").agg(F.count(F.lit(1)).alias("times"), F.sum("share").alias("share"), F.sum("factor").alias("factor"), F.max("main").alias("main"))
 
 
 def importances(counts: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -237,10 +251,10 @@ def importances(counts: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     def of(kind: int, value: Column) -> Column:
         return F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
 
-    c = F.col("c").cast("double")
-    sums = counts.where(F.col("kind") != BLOCK).groupBy("host", "place").agg(
-        of(PLACE, c).alias("pages"), of(PLACE, F.col("share")).alias("share"), of(PLACE, F.col("factor")).alias("factor"), F.bool_or("main").alias("main"),
-        of(LAYOUT, c).alias("layouts"), of(LAYOUT, c * F.log(c)).alias("layout_logs"), of(TEXT, c).alias("texts"), of(TEXT, c * F.log(c)).alias("text_logs"),
+    c, times = F.col("c").cast("double"), F.col("times")
+    sums = counts.groupBy("host", "place").agg(
+        of(PLACE, c * times).alias("pages"), of(PLACE, F.col("share") / PARTS).alias("share"), of(PLACE, F.col("factor") / PARTS).alias("factor"), (F.max("main") == 1).alias("main"),
+        of(LAYOUT, c * times).alias("layouts"), of(LAYOUT, c * F.log(c) * times).alias("layout_logs"), of(TEXT, c * times).alias("texts"), of(TEXT, c * F.log(c) * times).alias("text_logs"),
     ).where("pages > 0")
     base = F.log("pages")
 
@@ -260,7 +274,8 @@ def removals(counts: DataFrame, threshold: float = THRESHOLD, least_pages: int =
     """host and key of every place and block that goes."""
     judged = importances(counts, least_pages)
     places = judged.where(F.col("importance") < F.when(F.col("main"), F.lit(min(threshold, IN_MAIN))).otherwise(F.lit(threshold))).select("host", F.col("place").alias("key"))
-    blocks = counts.where(F.col("kind") == BLOCK).select("host", "place", "feature", "c").join(judged.where(F.col("pages") >= REPEATED_PAGES).select("host", "place", "pages"), ["host", "place"])
+    often = counts.where((F.col("kind") == TEXT) & (F.col("c") >= REPEATED * REPEATED_PAGES)).select("host", "place", "feature", "c")
+    blocks = often.join(judged.where(F.col("pages") >= REPEATED_PAGES).select("host", "place", "pages"), ["host", "place"])
     return places.unionAll(blocks.where(F.col("c") >= REPEATED * F.col("pages")).select("host", F.col("feature").alias("key")))
 
 
