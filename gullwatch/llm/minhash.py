@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = kept_table(reps.select("rep", "first_id").join(buckets.select("rep").distinct(), "rep"), "wanted")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = own.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # by a shuffle at every size: the ids of large inputs are no table to broadcast
+    texts = own.join(wanted.select(F.col("first_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     hashes = kept_table(_set_hashes(texts, wanted, again, shingle), "hashes")
     links = kept_table(_confirmed(_likely(stars, reps, least), hashes, percent).union(same_id), "stars")
     components = smallest_reachable(links)
