@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,15 +20,16 @@ from gullwatch.session import cut_lineage
 
 GRID_DIMS = 3
 BLOCK_ROWS = 1_000
+#: Vectors that all others are first measured against.
+PIVOTS = 256
 _CHUNK = 64
 
+#: Tag of the units that hold the small groups of a cell together.
+_SMALL = "small"
 
-def _spanning_edges(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs within ``eps``; never the pairs themselves."""
-    if not len(left) or not len(right):
-        return
-    a = np.stack(left["vector"].to_numpy()).astype("float64")
-    b = np.stack(right["vector"].to_numpy()).astype("float64")
+
+def _roots(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs that join two groups, in order: a spanning forest."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -36,56 +38,111 @@ def _spanning_edges(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> Iter
             x = parent[x]
         return x
 
-    a_ids, b_ids = left["node"].to_numpy(), right["node"].to_numpy()
-    for start in range(0, len(a), _CHUNK):
-        gap = a[start : start + _CHUNK, None, :] - b[None, :, :]
-        rows, cols = np.nonzero((gap * gap).sum(axis=2) <= eps * eps)
-        for i, j in zip(a_ids[rows + start].tolist(), b_ids[cols].tolist()):
-            p, q = root(i), root(j)
-            if p != q:
-                parent[p] = q
-                yield i, j
+    for i, j in pairs.tolist():
+        p, q = root(i), root(j)
+        if p != q:
+            parent[p] = q
+            yield i, j
+
+
+def _within(left: np.ndarray, right: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of ``left`` in chunks, each with the matrix of those of ``right`` at most ``eps`` away."""
+    for start in range(0, len(left), _CHUNK):
+        gap = left[start : start + _CHUNK, None, :] - right[None, :, :]
+        yield start, (gap * gap).sum(axis=2) <= eps * eps
 
 
-def eps_edges(nodes: DataFrame, eps: float) -> DataFrame:
-    """``(a, b)``: for ``nodes(node, vector)``, edges with the components of the eps-graph.
+def _spanning_edges(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> list[tuple[int, int]]:
+    """Links between different groups, a spanning forest of them; never the pairs themselves."""
+    if not len(left) or not len(right):
+        return []
+    a, b = (np.stack(side["vector"].to_numpy()).astype("float64") for side in (left, right))
+    own, other = left["grp"].to_numpy(), right["grp"].to_numpy()
+    links = []
+    for start, near in _within(a, b, eps):
+        rows, cols = np.nonzero(near & (own[start : start + _CHUNK, None] != other[None, :]))
+        if len(rows):
+            links.append(np.unique(np.stack([own[rows + start], other[cols]], 1), axis=0))
+    return list(_roots(np.unique(np.concatenate(links), axis=0))) if links else []
+
+
+def pivot_edges(nodes: DataFrame, eps: float) -> DataFrame:
+    """``(a, b)``: links of all vectors to ``PIVOTS`` of them, and a spanning forest of what links pivots.
+
+    One pass without a shuffle. By the triangle inequality a crowd no wider than ``eps``
+    around a pivot is one group after it, so its members need not meet each other.
+    """
+    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).collect()
+    ids = np.array([r.node for r in chosen], np.int64)
+    table = np.array([r.vector for r in chosen], float)
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, table))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, pivots = shared.value
+        between = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, pivots.shape[1])
+            node, out = batch.column(0).to_numpy(), []
+            for start, near in _within(rows, pivots, eps):
+                met = near.any(axis=1)
+                first = near.argmax(axis=1)
+                out.append(np.stack([node[start : start + len(near)][met], names[first[met]]], 1))
+                i, j = np.nonzero(near)
+                between = np.unique(np.concatenate([between, np.stack([names[first[i]], names[j]], 1)]), axis=0)
+            for links in (np.concatenate(out), np.array(list(_roots(between)), np.int64).reshape(-1, 2)):
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
+
+    return nodes.select("node", "vector").mapInArrow(task, "a long, b long").filter(F.col("a") != F.col("b")).distinct()
+
+
+def eps_edges(grouped: DataFrame, eps: float) -> DataFrame:
+    """``(a, b)``: for ``grouped(node, vector, grp)``, links between the groups of the eps-graph."""
+
+    def tile_edges(tile: pd.DataFrame) -> pd.DataFrame:
+        left, right = tile[tile["side"] == "left"], tile[tile["side"] == "right"]
+        return pd.DataFrame(_spanning_edges(left, right, eps), columns=["a", "b"], dtype="int64")
+
+    return compared(grouped, eps).groupBy("tile").applyInPandas(tile_edges, "a long, b long")
+
+
+def compared(grouped: DataFrame, eps: float) -> DataFrame:
+    """``(tile, vector, grp, side)``: the vectors that meet in each tile.
 
     A grid of cell width ``eps`` over the most spread dimensions leaves only neighbouring
-    cells to compare. A crowded cell is cut into blocks of bounded size by a hash, and
-    each pair of blocks is one task group, whatever the cell holds.
+    cells to compare. A cell is cut into units of bounded size: a group that fills units of
+    its own there never meets itself, the small groups of a cell are dealt out together.
     """
     spread = Summarizer.variance(array_to_vector(F.col("vector").cast("array<double>")))
-    variance = nodes.agg(spread.alias("v")).first().v.toArray()
+    variance = grouped.agg(spread.alias("v")).first().v.toArray()
     dims = [int(d) for d in np.argsort(-variance, kind="stable")[:GRID_DIMS]]
     cell = [F.floor(F.get("vector", d).cast("double") / eps).alias(f"c{i}") for i, d in enumerate(dims)]
     keys = [f"c{i}" for i in range(len(dims))]
-    placed = nodes.select("node", "vector", *cell)
-    cells = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    placed = placed.join(cells, keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = cut_lineage(placed.withColumn("unit", F.concat_ws("/", *keys, "block")))
-    units = placed.select(*keys, "block", "unit").distinct()
-    shifted = units.withColumnRenamed("unit", "left").drop("block")
+    placed = grouped.select("node", "vector", "grp", *cell)
+    count = F.count(F.lit(1))
+    big = placed.groupBy(*keys, "grp").agg(count.alias("n")).filter(F.col("n") >= BLOCK_ROWS).select(*keys, "grp", F.col("grp").cast("string").alias("tag"))
+    tagged = cut_lineage(placed.join(big, [*keys, "grp"], "left").withColumn("tag", F.coalesce("tag", F.lit(_SMALL))))
+    cells = tagged.groupBy(*keys, "tag").agg(F.ceil(count / BLOCK_ROWS).alias("blocks"))
+    dealt = tagged.join(cells, [*keys, "tag"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = cut_lineage(dealt.withColumn("unit", F.concat_ws("/", *keys, "tag", "block")))
+    units = dealt.select(*keys, "tag", "unit").distinct()
+    shifted = units.withColumnRenamed("unit", "left").withColumnRenamed("tag", "left_tag")
     for k in keys:
         shifted = shifted.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
         shifted = shifted.withColumn(k, F.col(k) + F.col("step")).drop("step")
     tiles = shifted.join(units.withColumnRenamed("unit", "right"), keys)
-    tiles = tiles.filter(F.col("left") <= F.col("right")).select(
+    apart = (F.col("tag") == _SMALL) | (F.col("tag") != F.col("left_tag"))
+    tiles = tiles.filter((F.col("left") <= F.col("right")) & apart).select(
         "left", "right", F.concat_ws("|", "left", "right").alias("tile")
     )
-    rows = placed.select("unit", "node", "vector")
+    rows = dealt.select("unit", "node", "vector", "grp")
     sides = [
         rows.join(tiles.select(F.col(side).alias("unit"), "tile"), "unit").select(
-            "tile", "node", "vector", F.lit(side).alias("side")
+            "tile", "vector", "grp", F.lit(side).alias("side")
         )
         for side in ("left", "right")
     ]
 
-    def tile_edges(tile: pd.DataFrame) -> pd.DataFrame:
-        left, right = tile[tile["side"] == "left"], tile[tile["side"] == "right"]
-        return pd.DataFrame(list(_spanning_edges(left, right, eps)), columns=["a", "b"], dtype="int64")
-
-    both = sides[0].unionByName(sides[1])
-    return both.groupBy("tile").applyInPandas(tile_edges, "a long, b long").filter(F.col("a") != F.col("b"))
+    return sides[0].unionByName(sides[1])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,10 +173,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def eps_components(df: DataFrame, eps: float) -> DataFrame:
     """``(id, component, noise)`` for ``df(id bigint, vector array)``; Euclidean distance.
 
-    Equal vectors are one node, so a large group of copies costs one comparison.
+    Equal vectors are one node, so a large group of copies costs one comparison. Links to a
+    few pivots form groups first; only vectors of different groups are compared after that.
     """
     distinct = cut_lineage(df.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    found = components(distinct.select("node"), eps_edges(distinct.select("node", "vector"), eps))
+    nodes = distinct.select("node", "vector")
+    if nodes.isEmpty():
+        return df.select("id", F.col("id").alias("component"), F.lit(True).alias("noise"))
+    first = cut_lineage(pivot_edges(nodes, eps))
+    groups = components(nodes.select("node"), first).withColumnRenamed("component", "grp")
+    links = cut_lineage(eps_edges(nodes.join(groups, "node"), eps))
+    found = components(nodes.select("node"), first.unionAll(links))
     sized = distinct.join(found, "node")
     sizes = sized.groupBy("component").agg((F.sum("copies") == 1).alias("noise"))
     return df.join(sized.join(sizes, "component").select("vector", "component", "noise"), "vector").select(
