@@ -66,33 +66,49 @@ def _spanning_edges(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> list
     return list(_roots(np.unique(np.concatenate(links), axis=0))) if links else []
 
 
-def pivot_edges(nodes: DataFrame, eps: float) -> DataFrame:
-    """``(a, b)``: links of all vectors to ``PIVOTS`` of them, and a spanning forest of what links pivots.
+def pivot_groups(nodes: DataFrame, eps: float) -> DataFrame:
+    """``(node, grp)``: vectors that links to ``PIVOTS`` of them join; others are groups of their own.
 
     One pass without a shuffle. By the triangle inequality a crowd no wider than ``eps``
     around a pivot is one group after it, so its members need not meet each other.
     """
+    spark = nodes.sparkSession
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).collect()
     ids = np.array([r.node for r in chosen], np.int64)
     table = np.array([r.vector for r in chosen], float)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, table))
+    shared = spark.sparkContext.broadcast((ids, table))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, pivots = shared.value
         between = np.zeros((0, 2), np.int64)
+
+        def rows(a: np.ndarray, b: np.ndarray, among: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), among))], names=["a", "b", "among"])
+
         for batch in batches:
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, pivots.shape[1])
-            node, out = batch.column(0).to_numpy(), []
-            for start, near in _within(rows, pivots, eps):
-                met = near.any(axis=1)
-                first = near.argmax(axis=1)
-                out.append(np.stack([node[start : start + len(near)][met], names[first[met]]], 1))
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, pivots.shape[1])
+            node = batch.column(0).to_numpy()
+            first = node.copy()
+            for start, near in _within(vectors, pivots, eps):
+                met = np.flatnonzero(near.any(axis=1))
+                first[start + met] = names[near[met].argmax(axis=1)]
                 i, j = np.nonzero(near)
-                between = np.unique(np.concatenate([between, np.stack([names[first[i]], names[j]], 1)]), axis=0)
-            for links in (np.concatenate(out), np.array(list(_roots(between)), np.int64).reshape(-1, 2)):
-                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
-
-    return nodes.select("node", "vector").mapInArrow(task, "a long, b long").filter(F.col("a") != F.col("b")).distinct()
+                between = np.unique(np.concatenate([between, np.stack([first[start + i], names[j]], 1)]), axis=0)
+            yield rows(node, first, False)
+        links = np.array(list(_roots(between)), np.int64).reshape(-1, 2)
+        yield rows(links[:, 0].copy(), links[:, 1].copy(), True)
+
+    linked = cut_lineage(nodes.select("node", "vector").mapInArrow(task, "a long, b long, among boolean"))
+    label = {int(i): int(i) for i in ids}
+    pairs = [(r.a, r.b) for r in linked.filter("among").select("a", "b").distinct().collect()]  # pairs of pivots
+    while True:
+        lower = [(x, y) for x, y in pairs if label[x] != label[y]]
+        if not lower:
+            break
+        for x, y in lower:
+            label[x] = label[y] = min(label[x], label[y])
+    named = spark.createDataFrame(list(label.items()), "b long, grp long")
+    return linked.filter("not among").join(F.broadcast(named), "b", "left").select(F.col("a").alias("node"), F.coalesce("grp", "b").alias("grp"))
 
 
 def eps_edges(grouped: DataFrame, eps: float) -> DataFrame:
@@ -180,12 +196,17 @@ def eps_components(df: DataFrame, eps: float) -> DataFrame:
     nodes = distinct.select("node", "vector")
     if nodes.isEmpty():
         return df.select("id", F.col("id").alias("component"), F.lit(True).alias("noise"))
-    first = cut_lineage(pivot_edges(nodes, eps))
-    groups = components(nodes.select("node"), first).withColumnRenamed("component", "grp")
+    groups = cut_lineage(pivot_groups(nodes, eps))
     links = cut_lineage(eps_edges(nodes.join(groups, "node"), eps))
-    found = components(nodes.select("node"), first.unionAll(links))
-    sized = distinct.join(found, "node")
-    sizes = sized.groupBy("component").agg((F.sum("copies") == 1).alias("noise"))
-    return df.join(sized.join(sizes, "component").select("vector", "component", "noise"), "vector").select(
+    sized = distinct.join(groups, "node")
+    if links.isEmpty():
+        sized = sized.withColumn("joined", F.col("grp"))
+    else:
+        ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+        found = components(ends, links).select(F.col("node").alias("grp"), F.col("component").alias("joined"))
+        sized = sized.join(found, "grp", "left").withColumn("joined", F.coalesce("joined", "grp"))
+    sized = cut_lineage(sized.select("vector", "node", "copies", "joined"))
+    sizes = sized.groupBy("joined").agg(F.min("node").alias("component"), (F.sum("copies") == 1).alias("noise"))
+    return df.join(sized.join(sizes, "joined").select("vector", "component", "noise"), "vector").select(
         "id", "component", "noise"
     )
