@@ -88,3 +88,22 @@ def test_document_vectors(spark):
     assert {r.id: (r.size, r["values"]) for r in wide.collect()} == {"1": (6, [1.0, 0.0, 4.0, 3.0, 1.0, 0.0]), "2": (6, [9.0, 9.0])}
     full = wide.filter("id = '2'").select(padded_vector(6, F.col("values")).alias("v")).first().v
     assert list(full) == [9.0, 9.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_held_and_joined_dictionaries_agree(spark):
+    """Ids and tokens that repeat, nulls, and no shuffle of vectors."""
+    rows = [("1", ["a", "b", "a"]), ("2", ["z", ""]), ("3", []), ("4", None), ("5", ["b"]), ("5", ["a", None, "c"]), (None, ["a"])]
+    words = spark.createDataFrame(rows, "id string, words array<string>")
+    vectors = [("a", [1.0, 0.0]), ("b", [4.0, 3.0]), ("b", [2.0, 5.0]), ("c", None), (None, [7.0, 7.0]), ("<UNK>", [9.0, 9.0])]
+    dictionary = spark.createDataFrame(vectors, "token string, vector array<float>")
+    results = []
+    for most in (1 << 20, 0):
+        wide = doc_vector_concat(words, dictionary, 2, most_bytes=most)
+        mean = doc_vector_mean(words, dictionary, most_bytes=most)
+        results.append(({r.id: (r.size, r["values"]) for r in wide.collect()}, {r.id: list(map(float, r.vector)) for r in mean.collect()}))
+    (held_wide, held_mean), (joined_wide, joined_mean) = results
+    assert held_wide == joined_wide and held_wide["5"] == (6, [1.0, 0.0, 2.0, 5.0, 4.0, 3.0, 9.0, 9.0, 9.0, 9.0])
+    assert held_mean.keys() == joined_mean.keys()
+    assert all(held_mean[k] == pytest.approx(joined_mean[k]) for k in held_mean)
+    plan = doc_vector_concat(words, dictionary, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
