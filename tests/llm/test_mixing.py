@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -200,3 +201,22 @@ def test_short_texts_are_refined_and_have_bits_per_byte(spark):
     cuts = range(0, len(parts[0]), mixing.ADAPT)  # each block a text of its own: fixed weights
     fixed = sum(mixing.log_probabilities(*(x[a : a + mixing.ADAPT] for x in parts[:4]), np.array([0, min(mixing.ADAPT, len(parts[0]) - a)]), model)[0] for a in cuts)
     assert whole > fixed
+
+
+def test_weights_are_learned_from_every_decision(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [babble(rng, 300, ["alpha", "beta", "gamma", "delta", "rare"]) for _ in range(20)]
+    model, _ = mixing.train(spark.createDataFrame(rows_of(texts), SCHEMA), F.lit(True))
+    learned = []
+
+    class Recorder(mixing.Learner):
+        def learn(self, inputs, gate, bit):
+            learned.append(len(bit))
+            super().learn(inputs, gate, bit)
+
+    monkeypatch.setattr(mixing, "Learner", Recorder)
+    monkeypatch.setattr(mixing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    _, (node, *_) = mixing._row_decisions(batch, model)
+    list(mixing._table_batches(iter([batch]), SimpleNamespace(value=model)))
+    assert sum(learned) == len(node)
