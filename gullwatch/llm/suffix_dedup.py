@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gullwatch.llm.common import kept_table, pieces, range_hashes, row_starts, utf8
+from gullwatch.llm.common import kept_table, pieces, row_starts, utf8, window_hashes
 
 LENGTH, GRAM = 100, 24
 SHALLOW = 40
@@ -45,6 +45,8 @@ HOT = 20_000
 #: Bits of the row bitmap (as bytes it is an eighth), and of anchor hashes.
 BITMAP_BITS, HASH_BITS = 1 << 24, 48
 _HOT_SEEN = 1 << 20
+#: Bytes of text read for anchors at once, parts cut out of texts at once, and parts compared at once (one anchor's at least).
+SLICE, CUT_PARTS, SORTED_PARTS = 1 << 17, 1 << 13, 1 << 15
 
 _ROW = "doc_id long, tie long, "
 
@@ -70,9 +72,8 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     if n <= 0 or (np.diff(at) < length).all():
         return empty, empty, empty, empty, empty
     place_bits = 28
-    grams = np.arange(len(data) - gram + 1)
-    hashes = range_hashes(data, grams, grams + gram)
-    least = (hashes & ~np.uint64((1 << place_bits) - 1)) | grams.astype(np.uint64)
+    hashes = window_hashes(data, gram)
+    least = (hashes & ~np.uint64((1 << place_bits) - 1)) | np.arange(len(hashes), dtype=np.uint64)
     span, width = 1, length - gram + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -96,7 +97,7 @@ def _packed_place(first: np.ndarray, counts: np.ndarray, lead: np.ndarray) -> np
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", SLICE):
         data, at = utf8(_col(batch, "text"))
         row, hashes, first, counts, lead = anchors(data, at)
         take = pa.array(row)
@@ -238,6 +239,7 @@ def repeats(key: np.ndarray, rank: np.ndarray, counts: np.ndarray, lead: np.ndar
         prefixes.append(prefix)
     del right, left
     parts, strings = [], []
+    by_rank, width = np.argsort(rank, kind="stable"), max(n, 1).bit_length()
     for away in range(int(lead.max()) + 1 if n else 0):  # distance from a string's start to the anchor
         owns = (lead >= away) & (lead - counts < away)
         if owns.sum() < 2:
@@ -247,10 +249,17 @@ def repeats(key: np.ndarray, rank: np.ndarray, counts: np.ndarray, lead: np.ndar
             name = np.empty(n, np.int64)
             name[order] = np.cumsum(prefix < need)
             classes.append(name)
-        own = np.flatnonzero(owns)
-        own = own[np.lexsort((rank[own], classes[1][own], classes[0][own]))]
-        same = np.zeros(len(own), bool)
-        same[1:] = (classes[0][own][1:] == classes[0][own][:-1]) & (classes[1][own][1:] == classes[1][own][:-1])
+        own = by_rank[owns[by_rank]]
+        if 3 * width < 64:  # both classes and the place by rank, sorted as one number
+            both = (classes[0][own] << (2 * width)) | (classes[1][own] << width) | np.arange(len(own))
+            both.sort()
+            own, both = own[both & ((1 << width) - 1)], both >> width
+            same = np.zeros(len(own), bool)
+            same[1:] = both[1:] == both[:-1]
+        else:
+            own = own[np.lexsort((classes[1][own], classes[0][own]))]
+            same = np.zeros(len(own), bool)
+            same[1:] = (classes[0][own][1:] == classes[0][own][:-1]) & (classes[1][own][1:] == classes[1][own][:-1])
         later = own[same]
         parts.append(later)
         strings.append(lead[later] - away)
@@ -280,38 +289,59 @@ def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     seen: set[bytes] = set()
     before: tuple | None = None
     for batch in pieces(batches, "text"):
-        docs, ties = _col(batch, "doc_id").to_pylist(), _numbers(batch, "tie").tolist()
-        rows: list[list] = [[] for _ in range(6)]
-        for doc, tie, raw, wanted in zip(docs, ties, _col(batch, "text").to_pylist(), _col(batch, "wanted").to_pylist()):
-            if (doc, tie) == before:  # one id and one text: one text
+        docs, ties, texts, lists = _col(batch, "doc_id"), _numbers(batch, "tie"), _col(batch, "text"), _col(batch, "wanted")
+        keys = list(zip(docs.to_pylist(), ties.tolist()))
+        fresh = np.array([key != last for key, last in zip(keys, [before, *keys])])  # one id and one text: one text
+        before = keys[-1]
+        wanted = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        hashes, place = (pc.struct_field(wanted, name).to_numpy() for name in ("h", "place"))
+        hot = pc.struct_field(wanted, "hot").to_numpy(zero_copy_only=False)
+        data, at = utf8(texts)
+        plain = np.flatnonzero(fresh[row] & ~hot)
+        for k in range(0, len(plain), CUT_PARTS):
+            own = plain[k : k + CUT_PARTS]
+            begin, size = at[row[own]] + (place[own] >> 16), ((place[own] >> 8) & 255) - 1 + LENGTH
+            bounds = row_starts(size)
+            flat = data[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])]
+            cut = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
+            take = pa.array(row[own])
+            yield pa.RecordBatch.from_arrays([docs.take(take), pa.array(ties[row[own]]), pa.array(hashes[own]), pa.array(place[own]), cut, pa.array(np.zeros(len(own), bool))], names=_PART)
+        crowded = np.flatnonzero(fresh[row] & hot)
+        crowded = crowded[np.lexsort((place[crowded], row[crowded]))]
+        if len(crowded):
+            yield _hot_parts(crowded, row, place, keys, data, at, seen)
+
+
+_PART = ["doc_id", "tie", "h", "place", "bytes", "again"]
+
+
+def _hot_parts(crowded: np.ndarray, row: np.ndarray, place: np.ndarray, keys: list[tuple], data: np.ndarray, at: np.ndarray, seen: set[bytes]) -> pa.RecordBatch:
+    """The strings of hot anchors one by one, those in ``seen`` as runs."""
+    rows: list[list] = [[] for _ in _PART]
+    for w in crowded.tolist():
+        (doc, tie), raw = keys[row[w]], data[at[row[w]] : at[row[w] + 1]]
+        first, count, lead = int(place[w]) >> 16, (int(place[w]) >> 8) & 255, int(place[w]) & 255
+        found, begin = [], None
+        for k in range(count + 1):
+            own = raw[first + k : first + k + LENGTH].tobytes()
+            digest = hashlib.blake2b(own, digest_size=16).digest() if k < count else b""
+            if digest in seen:
+                begin = k if begin is None else begin
                 continue
-            before = doc, tie
-            raw = raw.encode()
-            for w in sorted(wanted, key=lambda w: w["place"]):
-                first, count, lead = w["place"] >> 16, (w["place"] >> 8) & 255, w["place"] & 255
-                if not w["hot"]:
-                    found = [(w["h"], _packed(first, count, lead), raw[first : first + count - 1 + LENGTH], False)]
-                else:
-                    found, begin = [], None
-                    for k in range(count + 1):
-                        own = raw[first + k : first + k + LENGTH]
-                        digest = hashlib.blake2b(own, digest_size=16).digest() if k < count else b""
-                        if digest in seen:
-                            begin = k if begin is None else begin
-                            continue
-                        if begin is not None:
-                            found.append((hash((doc or 0, tie, first + begin)), _packed(first + begin, k - begin, 0), b"", True))
-                            begin = None
-                        if k < count:
-                            if len(seen) >= _HOT_SEEN:  # a string is passed on once more after that
-                                seen.clear()
-                            seen.add(digest)
-                            found.append((int.from_bytes(digest[:8], "little", signed=True) | 1 << 62, _packed(first + k, 1, max(lead - k, 0)), own, False))
-                for x in found:
-                    for column, value in zip(rows, (doc, tie, *x)):
-                        column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "tie", "h", "place", "bytes", "again"])
+            if begin is not None:
+                found.append((hash((doc or 0, tie, first + begin)), _packed(first + begin, k - begin, 0), b"", True))
+                begin = None
+            if k < count:
+                if len(seen) >= _HOT_SEEN:  # a string is passed on once more after that
+                    seen.clear()
+                seen.add(digest)
+                found.append((int.from_bytes(digest[:8], "little", signed=True) | 1 << 62, _packed(first + k, 1, max(lead - k, 0)), own, False))
+        for x in found:
+            for column, value in zip(rows, (doc, tie, *x)):
+                column.append(value)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=_PART)
 
 
 def _packed(first: int, count: int, lead: int) -> int:
@@ -319,8 +349,12 @@ def _packed(first: int, count: int, lead: int) -> int:
 
 
 def _repeat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated runs of bytes (a, b) from the parts of this partition's anchors; those known as repeats pass through."""
-    held = []
+    """Repeated runs of bytes (a, b) from the parts of this partition's anchors, in order of anchor; those known as repeats pass through.
+
+    The parts of whole anchors are compared together, about ``SORTED_PARTS`` at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         again = _col(batch, "again")
         if again.true_count:
@@ -328,10 +362,22 @@ def _repeat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             place = _numbers(known, "place")
             a = place >> 16
             yield pa.RecordBatch.from_arrays([_col(known, "doc_id"), _col(known, "tie"), pa.array(a), pa.array(a + ((place >> 8) & 255) - 1 + LENGTH)], names=["doc_id", "tie", "a", "b"])
+        if not batch.num_rows:
+            continue
+        if size >= SORTED_PARTS:
+            key = _numbers(batch, "h")
+            end = int(np.searchsorted(key, _col(held[-1], "h")[-1].as_py(), side="right"))
+            if end < batch.num_rows:  # the last anchor held ends here
+                yield from _repeated_runs(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                held, size, batch = [], 0, batch.slice(end)
         held.append(batch)
-    if not any(batch.num_rows for batch in held):
-        return
-    table = pa.Table.from_batches(held)
+        size += batch.num_rows
+    if held:
+        yield from _repeated_runs(pa.Table.from_batches(held))
+
+
+def _repeated_runs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Repeated runs of bytes (a, b) from the parts of whole anchors."""
     known = table.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     doc = table.column("doc_id").fill_null(0).to_numpy()
     tie, key, place = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tie", "h", "place"))
@@ -362,6 +408,8 @@ def _repeat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _slices(text: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(rows) == len(at) - 1:  # all, in order
+        return text, at
     sizes = at[rows + 1] - at[rows]
     bounds = row_starts(sizes)
     return text[np.repeat(at[rows] - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
@@ -433,7 +481,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left["tie"] == right["_tie"])).drop("_doc", "_tie")
 
     parts = joined(rows_in(own, wanted.select(names)), ask).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_part_batches, _ROW + "h long, place long, bytes binary, again boolean")
-    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h")
     runs = kept_table(dealt.mapInArrow(_repeat_batches, _ROW + "a long, b long").groupBy(names).agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
     have = runs.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "runs")
     cut = joined(rows_in(own, runs.select(names)), have).mapInArrow(_cut_batches, _ROW + "n_removed long, n_spans long, kept_sha256 string").dropDuplicates(names)

@@ -102,3 +102,29 @@ def test_repeated_rows_and_hot_repeats_inside_a_text(spark, monkeypatch):
     got = suffix_dedup.remove_repeats(spark.createDataFrame([*rows, *rows[:3], *rows[:3]], "doc_id long, text string").repartition(3)).collect()
     assert len(got) == 26
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+
+
+def test_parts_are_compared_anchor_by_anchor(monkeypatch):
+    """A task holds the parts of a bounded number of anchors, not those of its partition, and finds the same repeats."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3_000))
+    texts = pa.array([base[rng.randrange(1_500) :] for _ in range(20)])
+    data, at = suffix_dedup.utf8(texts)
+    row, h, first, counts, lead = suffix_dedup.anchors(data, at)
+    order = h.argsort(kind="stable")
+    cut = [bytes(data[at[r] + f : at[r] + f + c + 99]) for r, f, c in zip(row, first, counts)]
+    batch = pa.table({"doc_id": row, "tie": row * 0, "h": h, "place": suffix_dedup._packed_place(first, counts, lead), "bytes": pa.array(cut, pa.binary()), "again": pa.array([False] * len(row))}).take(order)
+    batches = batch.to_batches(max_chunksize=50)
+    sizes, whole = [], suffix_dedup.repeats
+
+    def counted(key, *rest):
+        sizes.append(len(key))
+        return whole(key, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", counted)
+    runs = {tuple(r.values()) for b in suffix_dedup._repeat_batches(iter(batches)) for r in b.to_pylist()}
+    assert sizes == [len(row)]
+    monkeypatch.setattr(suffix_dedup, "SORTED_PARTS", 100)
+    sizes.clear()
+    assert {tuple(r.values()) for b in suffix_dedup._repeat_batches(iter(batches)) for r in b.to_pylist()} == runs
+    assert len(sizes) > 3 and max(sizes) <= 200 and sum(sizes) == len(row)
