@@ -107,3 +107,13 @@ def test_held_and_joined_dictionaries_agree(spark):
     assert all(held_mean[k] == pytest.approx(joined_mean[k]) for k in held_mean)
     plan = doc_vector_concat(words, dictionary, 2)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_listed_words_are_joined_without_moving_each_token(spark):
+    """Rows of one id, null ids, null lists and null words; only whole lists and the listed words found are grouped."""
+    rows = [("1", ["b", "a", None, ""]), ("1", ["a", "d"]), (None, ["b"]), ("2", None), ("3", []), ("4", ["x", "a", "x"])]
+    df = spark.createDataFrame(rows, "id string, words array<string>")
+    out = drop_stopwords(df, spark.createDataFrame([("a",), (None,)], "word string"), max_literal=0)
+    got = sorted(((r.id, r.words) for r in out.collect()), key=str)
+    assert got == sorted([("1", ["b", "d", None, ""]), ("1", ["b", "d", None, ""]), (None, []), ("2", None), ("3", []), ("4", ["x", "x"])], key=str)
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
