@@ -91,3 +91,13 @@ def test_pending_runs_and_embeddings(spark, tmp_path):
 def test_posts_distinct(spark):
     df = spark.createDataFrame([("1", "b"), ("1", "a"), ("2", "c")], "id string, tweet string")
     assert sorted(tuple(r) for r in posts.posts_distinct(df).collect()) == [("1", "a"), ("2", "c")]
+
+
+def test_lines_of_a_listing_are_shuffled_once(spark, tmp_path):
+    path = str(tmp_path / "tweetsDF_x.csv_clusters")
+    lines = ["", "%%%", "Cluster 1"] + [f"2016-04-02\t{i}\tpost {i}" for i in range(5)]
+    spark.createDataFrame([(x,) for x in lines * 3], "value string").repartition(1).write.text(path)
+    parsed = listing.read_cluster_listing(spark, path)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in x and "windowspecdefinition(split" in x for x in plan.splitlines()) == 3  # the windows over lines, for the rows alone and not for the carry too
+    assert parsed.count() > 0
