@@ -86,3 +86,24 @@ def test_train_and_test_clusters_the_scored_posts(labelled):
 
 def test_keyword_rule(labelled):
     assert confusion(keyword_classify(labelled)).first().tp == 40
+
+
+def test_dense_rows_of_a_perceptron_lie_in_bounded_partitions(spark, monkeypatch):
+    from gullwatch.operators import classify
+
+    seen = []
+
+    class Fitted(Exception):
+        pass
+
+    class Stub:
+        def fit(self, rows):
+            seen.append((rows.count(), rows.rdd.getNumPartitions()))
+            raise Fitted
+
+    monkeypatch.setattr(classify, "mlp", lambda *_: Stub())
+    monkeypatch.setattr(classify, "DENSE_BYTES", 8 * 30 * 50)
+    rows = spark.createDataFrame([(str(i), i % 2, f"w{i % 7} x") for i in range(1_000)], "id string, label int, processedTweet string").coalesce(1)
+    with pytest.raises(Fitted):
+        train(rows, Spec("MLP", 30))
+    assert seen == [(1_000, 20)]  # of 50 rows
