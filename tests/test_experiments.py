@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from gullwatch.operators.classify import Spec, keyword_classify, train
 from gullwatch.operators.metrics import classification_metrics, confusion
 from gullwatch.plans import experiments as E
+from gullwatch.plans.clustering import with_features
 from gullwatch.sources.models import load_model, save_model
 
 
@@ -107,3 +108,30 @@ def test_dense_rows_of_a_perceptron_lie_in_bounded_partitions(spark, monkeypatch
     with pytest.raises(Fitted):
         train(rows, Spec("MLP", 30))
     assert seen == [(1_000, 20)]  # of 50 rows
+
+
+@pytest.fixture
+def counted_texts(spark):
+    """Posts whose text is counted each time it is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    text = F.udf(count, "string").asNondeterministic()(F.concat(F.lit("word w"), F.col("id") % 7))
+    rows = spark.range(40).select(F.col("id").cast("string").alias("id"), (F.col("id") % 2).cast("int").alias("label"), text.alias("processedTweet"))
+    return rows, seen
+
+
+@pytest.mark.parametrize("spec", [Spec("SVM", 16, max_iter=3), Spec("SVM", 16, step=0.5, max_iter=3), Spec("MLP", 16, hidden_layers=1, width=2, max_iter=3)])
+def test_training_computes_each_text_once(counted_texts, spec):
+    rows, seen = counted_texts
+    train(rows, spec)
+    assert seen.value == 40
+
+
+def test_features_compute_each_text_once(counted_texts):
+    rows, seen = counted_texts
+    with_features(rows, num_features=16).count()
+    assert seen.value == 40
