@@ -135,3 +135,9 @@ def test_features_compute_each_text_once(counted_texts):
     rows, seen = counted_texts
     with_features(rows, num_features=16).count()
     assert seen.value == 40
+
+
+def test_folds_count_each_text_once(counted_texts):
+    rows, seen = counted_texts
+    E.cross_validate(rows, E.model_fit(Spec("SVM", 16, max_iter=2)), 2).collect()
+    assert seen.value == 40
