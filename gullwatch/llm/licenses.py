@@ -103,21 +103,39 @@ def rare_index(templates: tuple[Template, ...], weights: dict[str, int], rare: i
     return index
 
 
-def _starts(hits: Column, word: str, place: int) -> Column:
-    return F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["at"] - place)
+def _search_table(templates: tuple[Template, ...], index: list[list[tuple[str, int]]], weights: dict[str, int]) -> Column:
+    """All templates as one array, so that the expressions over a row are as few for many templates as for one."""
+
+    def placed(words: list[tuple[int, str]]) -> Column:
+        return F.array(*(F.struct(F.lit(at).alias("at"), F.lit(word).alias("word"), F.lit(weights[word]).cast("long").alias("weight")) for at, word in words))
+
+    return F.array(
+        *(
+            F.struct(
+                F.lit(t.label).alias("label"),
+                F.lit(t.base).alias("base"),
+                _literals(t.words).alias("key"),
+                placed([(place, word) for word, place in entry]).alias("rare"),
+                placed(t.context).alias("context"),
+                F.lit(sum(weights[word] for _, word in t.context)).cast("long").alias("total"),
+            )
+            for t, entry in zip(templates, index)
+        )
+    )
+
+
+def _starts(hits: Column, rare: Column) -> Column:
+    return F.transform(F.filter(hits, lambda h: h["word"] == rare["word"]), lambda h: h["at"] - rare["at"])
 
 
-def _places(w: Column, hits: Column, t: Template, rare: list[tuple[str, int]], weights: dict[str, int]) -> Column:
-    starts = _starts(hits, *rare[0])
-    for word, place in rare[1:]:
-        starts = F.array_intersect(starts, _starts(hits, word, place))
-    key = _literals(t.words)
-    verified = F.filter(starts, lambda s: (s >= 0) & (F.slice(w, F.greatest(s, F.lit(0)) + 1, F.lit(len(t.words))) == key))
-    total = sum(weights[word] for _, word in t.context)
+def _places(w: Column, hits: Column, t: Column) -> Column:
+    others = F.slice(t["rare"], F.lit(2), F.size(t["rare"]))
+    starts = F.aggregate(others, _starts(hits, F.get(t["rare"], F.lit(0))), lambda agreed, rare: F.array_intersect(agreed, _starts(hits, rare)))
+    verified = F.filter(starts, lambda s: (s >= 0) & (F.slice(w, F.greatest(s, F.lit(0)) + 1, F.size(t["key"])) == t["key"]))
 
     def found(s: Column) -> Column:
-        matched = sum((F.when(F.get(w, s + rel) == word, F.lit(weights[word])).otherwise(F.lit(0)) for rel, word in t.context), F.lit(0))
-        return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), matched.cast("long").alias("matched"), F.lit(total).cast("long").alias("total"))
+        matched = F.aggregate(t["context"], F.lit(0).cast("long"), lambda sum_, c: sum_ + F.when(F.get(w, s + c["at"]) == c["word"], c["weight"]).otherwise(F.lit(0)))
+        return F.struct(t["label"].alias("label"), t["base"].alias("base"), s.alias("start"), matched.alias("matched"), t["total"].alias("total"))
 
     return F.transform(verified, found)
 
@@ -131,12 +149,12 @@ def find(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int
     worded = docs.select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
     w = F.col("w")
     placed = F.transform(w, lambda word, i: F.struct(word.alias("word"), i.alias("at")))
-    none = F.array().cast("array<struct<word:string,at:int>>")
-    hits = F.when(F.arrays_overlap(w, _literals(looked_up)), F.filter(placed, lambda h: h["word"].isin(looked_up))).otherwise(none)
-    looked = worded.select("doc_id", "w", F.explode(F.array(hits)).alias("hits"))
-    places = [_places(w, F.col("hits"), t, entry, weights) for t, entry in zip(templates, index)]
-    found = F.when(F.size("hits") > 0, F.concat(*places)).otherwise(F.array()).cast(_FOUND)
-    return looked.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.array(found)).alias("found"))
+    # rows without a looked-up word leave their words behind
+    hits = F.when(F.arrays_overlap(w, _literals(looked_up)), F.struct(w.alias("w"), F.filter(placed, lambda h: h["word"].isin(looked_up)).alias("hits")))
+    looked = worded.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.array(hits)).alias("looked"))
+    places = F.flatten(F.transform(_search_table(templates, index, weights), lambda t: _places(F.col("looked.w"), F.col("looked.hits"), t)))
+    found = F.when(F.col("looked").isNotNull(), places).otherwise(F.array()).cast(_FOUND)
+    return looked.select("doc_id", "n_words", F.explode(F.array(found)).alias("found"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

@@ -75,3 +75,9 @@ def test_long_repeats_stay_linear(spark):
 def test_no_python_on_the_main_path(spark):
     plan = licenses.scan(spark.createDataFrame(rows_of(TEXTS), SCHEMA))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_expressions_do_not_grow_with_the_templates(spark):
+    docs = spark.createDataFrame(rows_of(TEXTS), SCHEMA)
+    few, many = (licenses.find(docs, t)._jdf.queryExecution().analyzed().toString().count("lambdafunction(") for t in (licenses.BASE, licenses.TEMPLATES))
+    assert few == many
