@@ -164,6 +164,20 @@ def _chains(words: list[np.ndarray], labels: np.ndarray, rng: np.random.RandomSt
     return ids[fill].reshape(-1, size), gold[fill].reshape(-1, size)
 
 
+def _word_slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature slots of all words, word by word and kind by kind, and where those of each word begin."""
+    counts = np.zeros(len(starts), np.int64)
+    for word, _ in features(data, starts, ends):
+        counts += np.bincount(word, minlength=len(starts))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    slots, filled = np.empty(int(bounds[-1]), np.int32), bounds[:-1].copy()
+    for word, slot in features(data, starts, ends):
+        own = np.bincount(word, minlength=len(starts))
+        slots[filled[word] + np.arange(len(word)) - (np.cumsum(own) - own)[word]] = slot
+        filled += own
+    return bounds, slots
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Weights by stochastic gradient steps on the log likelihood of chains."""
     labels = sorted(set(langs))
@@ -175,12 +189,10 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         return model
     own, a, b, of = distinct_words(data, starts, ends)
     rows = [of[x:y] for x, y in zip(first[:-1], first[1:])]
-    word, slot = (np.concatenate(x) for x in zip(*features(own, a, b)))
-    order = np.argsort(word, kind="stable")
-    word, slot = word[order], slot[order]
-    bounds = np.searchsorted(word, np.arange(len(a) + 1))
+    bounds, slot = _word_slots(own, a, b)
     weights, steps = np.zeros((SLOTS, k)), np.zeros((k, k))
     squares, step_squares = np.full((SLOTS, k), 1e-3), np.full((k, k), 1e-3)
+    grad, room = np.empty((SLOTS, k)), np.empty((SLOTS, k))  # the driver holds no more tables than these four
     rng = np.random.RandomState(11)
     for _ in range(EPOCHS):
         chains, gold = _chains(rows, np.array([number[x] for x in langs]), rng)
@@ -196,9 +208,14 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             flat = inverse.reshape(-1)
             wrong, step_wrong = _gradient(scores[inverse], steps, truth)
             by_word = np.stack([np.bincount(flat, wrong.reshape(-1, k)[:, c], minlength=len(used)) for c in range(k)], 1)
-            grad = np.stack([np.bincount(pick, by_word[owner, c], minlength=SLOTS) for c in range(k)], 1) / len(ids) - DECAY * weights
-            squares += grad**2
-            weights += RATE * grad / np.sqrt(squares)
+            for c in range(k):
+                grad[:, c] = np.bincount(pick, by_word[owner, c], minlength=SLOTS)
+            grad /= len(ids)
+            grad -= np.multiply(weights, DECAY, out=room)
+            squares += np.square(grad, out=room)
+            grad *= RATE
+            grad /= np.sqrt(squares, out=room)
+            weights += grad
             step_grad = step_wrong / len(ids) - DECAY * steps
             step_squares += step_grad**2
             steps += RATE * step_grad / np.sqrt(step_squares)

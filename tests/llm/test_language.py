@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -94,3 +95,15 @@ def test_odd_rows(spark):
     empty = no_documents(spark)
     assert language.predict(empty, language.train(empty, F.lit(True))).count() == 0
     assert {r.lang_pred for r in language.predict(docs, language.train(empty, F.lit(True))).collect()} == {"und"}
+
+
+def test_fit_holds_few_tables_at_once():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60_000)]
+    texts = [" ".join(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    language.fit(texts[:8], ["de", "en"] * 4)  # tables that are kept between calls
+    tracemalloc.start()
+    language.fit(texts, ["de", "en", "es", "fr"] * 30)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 85
